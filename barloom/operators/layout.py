@@ -81,11 +81,8 @@ class Layout:
         return here + F.col(BASE) if self.split else here
 
     def with_columns(self, **columns: Column) -> "Layout":
-        """Add columns step by step, each may use the ones before it."""
-        df = self.df
-        for name, column in columns.items():
-            df = df.withColumn(name, column)
-        return Layout(df, self.keys, self.order, self.split, self.edges)
+        """Add columns that do not read one another (one projection, one analysis)."""
+        return Layout(self.df.withColumns(columns), self.keys, self.order, self.split, self.edges)
 
     def finish(self, df: DataFrame | None = None) -> DataFrame:
         df = self.df if df is None else df

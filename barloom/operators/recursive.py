@@ -13,7 +13,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.operators.layout import BASE, Layout, lay_out, pick_mode
 from barloom.operators.rolling import cmf, cumulative_vwap, previous, rsi_sma, session_vwap, sma, true_range
@@ -86,9 +89,9 @@ def directional(h, l, c, p: int, first: bool) -> np.ndarray:
 
 
 # name -> (inputs are the ordered arrays of one partition; base counts earlier rows of the series)
-def _compute(name: str, g: pd.DataFrame, base: int) -> np.ndarray:
-    h, l, c, v = (g[k].to_numpy(dtype=float) for k in ("high", "low", "close", "volume"))
-    first, n = base == 0, len(g)
+def _compute(name: str, g: dict[str, np.ndarray], base: int) -> np.ndarray:
+    h, l, c, v = (g[k] for k in ("high", "low", "close", "volume"))
+    first, n = base == 0, len(c)
     pos = base + np.arange(1, n + 1)
     kind, _, arg = name.partition(":")
     p = int(arg or 0)
@@ -124,20 +127,25 @@ def _compute(name: str, g: pd.DataFrame, base: int) -> np.ndarray:
 
 
 def recursive_columns(lay: Layout, wanted: dict[str, str]) -> Layout:
-    """Adds columns ``{output name: kind[:period]}`` in one grouped-map pass."""
+    """Adds columns ``{output name: kind[:period]}`` in one grouped-map pass.
+
+    Arrow tables go in and out: only the four price columns become arrays, every other column
+    passes through untouched.
+    """
     names = list(wanted)
-    order, split = lay.order, lay.split
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in lay.df.schema.fields]
-                       + [f"`{n}` double" for n in names])
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable").reset_index(drop=True)
-        base = int(g[BASE].iloc[0]) if split else 0
-        return g.assign(**{n: _compute(k, g, base) for n, k in wanted.items()})
-
-    # NaN marks a missing value inside the pass and becomes null outside it
-    out = lay.df.groupBy(*lay.partition).applyInPandas(run, schema)
-    out = out.select(*lay.df.columns, *[F.nanvl(F.col(n), F.lit(None).cast("double")).alias(n) for n in names])
+    order, split = [(c, "ascending") for c in lay.order], lay.split
+    schema = StructType([*lay.df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        g = {k: table[k].to_numpy().astype(float) for k in ("high", "low", "close", "volume")}
+        base = table[BASE][0].as_py() if split else 0
+        for n, kind in wanted.items():
+            values = _compute(kind, g, base)
+            table = table.append_column(n, pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return table
+
+    out = lay.df.groupBy(*lay.partition).applyInArrow(run, schema)
     return Layout(out, lay.keys, lay.order, lay.split, lay.edges)
 
 
