@@ -27,3 +27,8 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
 def signals(spark: SparkSession, d: str, spec: EntrySpec = ENTRY) -> DataFrame:
     return S.candidate_signals(catalog.bars(spark, d), zones(spark, d), gaps(spark, d), CLOCK, spec, decimals=None,
                                strategies=S.stock_strategies(LEVELS))
+
+
+def hits(spark: SparkSession, d: str, spec: EntrySpec = ENTRY) -> DataFrame:
+    return S.scored_hits(catalog.bars(spark, d), zones(spark, d), gaps(spark, d), CLOCK, spec, decimals=None,
+                         strategies=S.stock_strategies(LEVELS))

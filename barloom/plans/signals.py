@@ -125,9 +125,9 @@ def apply_strategies(hits: DataFrame, chosen: dict[str, Strategy], spec: EntrySp
     return df.drop("atr").select("*", "_r.*").drop("_r")
 
 
-def candidate_signals(bars: DataFrame, zones: DataFrame | None, gaps: DataFrame | None, session: SessionSpec, spec: EntrySpec,
-                      decimals: int | None = 2, strategies: dict[str, Strategy] | None = None) -> DataFrame:
-    """Scored signals of all sessions; ``decimals`` rounds the reported prices and ratios."""
+def scored_hits(bars: DataFrame, zones: DataFrame | None, gaps: DataFrame | None, session: SessionSpec, spec: EntrySpec,
+                decimals: int | None = 2, strategies: dict[str, Strategy] | None = None) -> DataFrame:
+    """Every hit a strategy accepts, scored; ``decimals`` rounds the reported prices and ratios."""
     hits = candidates(enrich(bars, session), spec)
     hits = lookups.with_zone(hits, zones, spec) if zones is not None else hits.withColumn("zone_hi", F.lit(None).cast("double"))
     if gaps is not None:
@@ -144,6 +144,16 @@ def candidate_signals(bars: DataFrame, zones: DataFrame | None, gaps: DataFrame
                          "atr": cut(F.col("atr")), "vwap": cut(F.col("vwap")), "vol_ratio": cut(F.col("vol_ratio")),
                          "struct_sl": F.col("exit.stop"), "struct_target": F.col("exit.target"), "rr": F.col("exit.rr"),
                          "sl_method": F.col("exit.sl_method"), "tgt_method": F.col("exit.tgt_method")})
-    df = gates.first_per_day(df.select(*COLUMNS, "hit_no"), ["symbol", "session_date", "strategy", "direction"],
-                             ["ts", "hit_no"])
-    return df.select(*COLUMNS)
+    return df.select(*COLUMNS, "hit_no")
+
+
+def first_signals(hits: DataFrame, run_keys: list[str] = []) -> DataFrame:
+    """The first accepted hit per (symbol, session, strategy, direction)."""
+    keys = [*run_keys, "symbol", "session_date", "strategy", "direction"]
+    return gates.first_per_day(hits, keys, ["ts", "hit_no"]).drop("hit_no")
+
+
+def candidate_signals(bars: DataFrame, zones: DataFrame | None, gaps: DataFrame | None, session: SessionSpec, spec: EntrySpec,
+                      decimals: int | None = 2, strategies: dict[str, Strategy] | None = None) -> DataFrame:
+    """Scored signals of all sessions, one per (symbol, session, strategy, direction)."""
+    return first_signals(scored_hits(bars, zones, gaps, session, spec, decimals, strategies))
