@@ -44,22 +44,25 @@ def clamp(x: Column, lo: Column | float, hi: Column | float) -> Column:
     return F.greatest(as_col(lo), F.least(x, as_col(hi)))
 
 
-def stop_distance(entry: Column, atr: Column, spec: ExitSpec, mult: Column | None = None) -> Column:
+def stop_distance(entry: Column, atr: Column, spec: ExitSpec, mult: Column | None = None,
+                  band: tuple[Column, Column] | None = None) -> Column:
     """ATR multiple (or a share of the price without ATR) within the allowed band."""
     m = mult if mult is not None else F.lit(spec.atr_mult)
+    lo, hi = band if band is not None else (F.lit(spec.min_stop), F.lit(spec.max_stop))
     raw = F.when(atr > 0, m * atr).otherwise(spec.fallback_stop * entry)
-    return F.greatest(entry * spec.min_stop, F.least(raw, entry * spec.max_stop))
+    return F.greatest(entry * lo, F.least(raw, entry * hi))
 
 
 def sl_target(entry: Column, direction: Column, atr: Column, spec: ExitSpec, mult: Column | None = None,
-              ratio: Column | None = None, pick_sl: Column | None = None, pick_tgt: Column | None = None) -> Column:
+              ratio: Column | None = None, pick_sl: Column | None = None, pick_tgt: Column | None = None,
+              band: tuple[Column, Column] | None = None) -> Column:
     """Struct (sl, tgt, dist). A positive learned pick (both in ATR) replaces multiple and ratio."""
     m = mult if mult is not None else F.lit(spec.atr_mult)
     rr = ratio if ratio is not None else F.lit(spec.reward_ratio)
     if pick_sl is not None and pick_tgt is not None:
         picked = (pick_sl > 0) & (pick_tgt > 0)
         m, rr = F.when(picked, pick_sl).otherwise(m), F.when(picked, pick_tgt / pick_sl).otherwise(rr)
-    dist = stop_distance(entry, atr, spec, m)
+    dist = stop_distance(entry, atr, spec, m, band)
     cut = (lambda c: F.round(c, spec.price_decimals)) if spec.price_decimals is not None else (lambda c: c)
     return F.struct(cut(entry - direction * dist).alias("sl"), cut(entry + direction * rr * dist).alias("tgt"), dist.alias("dist"))
 

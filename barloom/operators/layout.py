@@ -98,6 +98,11 @@ def key_weight(df: DataFrame, keys: list[str]) -> tuple[int, int]:
     return int(row["top"] or 0), int(row["total"] or 0)
 
 
+def one_row(df: DataFrame) -> Column:
+    """The single row of an aggregate as a struct column (a scalar subquery, not a join)."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def pick_mode(df: DataFrame, keys: list[str], heavy_rows: int = HEAVY_ROWS) -> str:
     return "split" if key_weight(df, keys)[0] > heavy_rows else "keyed"
 
@@ -156,7 +161,7 @@ def _halo(rows: DataFrame, edges: DataFrame, keys: list[str], order: list[str],
     wanted = F.filter("_plan", lambda p: (p["lane"] != F.col(LANE)) & (
         ((p["base"] >= F.col("_pos")) & (p["base"] < F.col("_pos") + back))
         | ((F.col("_pos") > p["base"] + p["n"]) & (F.col("_pos") <= p["base"] + p["n"] + ahead))))
-    copies = (rim.join(F.broadcast(plan), keys) if keys else rim.crossJoin(F.broadcast(plan)))
+    copies = rim.join(F.broadcast(plan), keys) if keys else rim.withColumn("_plan", one_row(plan)["_plan"])
     copies = copies.withColumn("_to", F.explode(wanted))
     # rows of the series before the first row, copies included, that the lane holds
     start = F.greatest(F.col("_to.base") - F.lit(back), F.lit(0))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from barloom.operators.layout import lay_out, running
+from barloom.operators.layout import lay_out, one_row, running
 from barloom.spec import CAPITAL, TRADING_DAYS
 
 PF_CAP = 999.0
@@ -126,7 +126,8 @@ def percentile_table(df: DataFrame, metrics: list[str]) -> DataFrame:
 
 def observed_rank(null: DataFrame, observed: DataFrame, metrics: list[str]) -> DataFrame:
     """(metric, below_pct, p_value, verdict): where one observed row lies in a resampled distribution."""
-    both = null.select(*metrics).crossJoin(F.broadcast(observed.select(*[F.col(m).alias(f"o_{m}") for m in metrics])))
+    both = null.select(*metrics).withColumn("_o", one_row(observed.select(*metrics)))
+    both = both.select(*metrics, *[F.col(f"_o.{m}").alias(f"o_{m}") for m in metrics])
     out = both.agg(*[F.avg((F.col(m) < F.col(f"o_{m}")).cast("double")).alias(f"b_{m}") for m in metrics],
                    *[F.avg((F.col(m) >= F.col(f"o_{m}")).cast("double")).alias(f"p_{m}") for m in metrics])
     rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"b_{m}") * 100).alias("below_pct"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.catalog import micros
-from barloom.operators.layout import lay_out, running
+from barloom.operators.layout import lay_out, one_row, running
 from barloom.operators.ledger import loss_streak
 from barloom.spec import DayLimits, RiskLimits
 
@@ -42,7 +42,7 @@ def entry_check(candidates: DataFrame, positions: DataFrame, limits: RiskLimits
     """
     heat = portfolio_heat(positions)
     per = lambda key: positions.groupBy(F.upper(key).alias(f"_{key}")).agg(F.sum(F.expr("entry * qty")).alias(f"_{key}_notional"))
-    c = candidates.crossJoin(F.broadcast(heat))
+    c = candidates.withColumn("heat", one_row(heat)["heat"])
     for key in ("symbol", "sector"):
         c = c.join(per(key), F.upper(key) == F.col(f"_{key}"), "left")
     own = F.expr("entry * qty")
@@ -94,7 +94,7 @@ def reconcile(local: DataFrame, broker: DataFrame, orders: DataFrame) -> DataFra
     state = F.when(has("_l") & has("_b"), "matched").when(has("_l"), "missing_broker").otherwise("orphan_broker")
     df = df.select("symbol", state.alias("state"), (has("_l") & has("_b") & ~has("_o")).alias("unprotected"))
     halt = df.agg(F.coalesce(F.bool_or((F.col("state") != "matched") | F.col("unprotected")), F.lit(False)).alias("halt"))
-    return df.crossJoin(F.broadcast(halt))
+    return df.withColumn("halt", one_row(halt)["halt"])
 
 
 def day_halt(trades: DataFrame, order: list[str], limits: DayLimits = DayLimits(), mode: str = "auto", **lanes) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from barloom.operators.clean import earliest_per_key
+from barloom.operators.layout import one_row
 
 
 def derivative_underlyings(instruments: DataFrame) -> DataFrame:
@@ -39,5 +40,5 @@ def validated_list(listed: DataFrame, live: DataFrame, at_least: int = 40) -> Da
     names = live.select(F.upper("symbol").alias("_live")).distinct()
     marked = listed.join(names, F.upper("symbol") == F.col("_live"), "left")
     kept = marked.agg(F.count("_live").alias("_kept"))
-    return (marked.crossJoin(F.broadcast(kept)).filter((F.col("_kept") < at_least) | F.col("_live").isNotNull())
-            .drop("_live", "_kept"))
+    few = one_row(kept)["_kept"] < at_least
+    return marked.withColumn("_few", few).filter(F.col("_few") | F.col("_live").isNotNull()).drop("_live", "_few")

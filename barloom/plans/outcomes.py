@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from barloom.functions import trading as T
 from barloom.operators import exits, gates
 from barloom.operators.asof import asof_join
+from barloom.operators.layout import one_row
 from barloom.spec import CostSpec, EntrySpec, ExitSpec, SessionSpec
 
 
 def size_and_resolve(entries: DataFrame, bars: DataFrame, session: SessionSpec, spec: ExitSpec, cost: CostSpec = CostSpec(),
                      mult: Column | None = None, ratio: Column | None = None, carry: bool = False, exit_source: str = "atr",
-                     weight: Column | None = None, at_end: str = "EOD_FORCED") -> DataFrame:
+                     weight: Column | None = None, at_end: str = "EOD_FORCED",
+                     band: tuple[Column, Column] | None = None) -> DataFrame:
     """Entries (symbol, session_date, side, direction, entry_ts, entry_price, atr) to resolved trades.
 
     ``exit_source='policy'`` prefers struct_sl/struct_target where a signal carries them.
     """
-    levels = T.sl_target(F.col("entry_price"), F.col("direction"), F.col("atr"), spec, mult, ratio)
+    levels = T.sl_target(F.col("entry_price"), F.col("direction"), F.col("atr"), spec, mult, ratio, band=band)
     df = entries.withColumn("_x", levels)
     if exit_source == "policy":
         has = F.col("struct_sl").isNotNull() & F.col("struct_target").isNotNull()
@@ -59,15 +61,19 @@ RANKING = [("ts", True), ("score", False), ("vol_ratio", False), ("strength", Fa
 def judge(outcomes: DataFrame, trend: DataFrame | None, runs: DataFrame) -> DataFrame:
     """Outcomes under the rules of every run they belong to, with ``gate_ok``.
 
-    ``runs`` (run, gate, top_per_bar, min_score, max_open) joins on the columns both sides share;
-    the grid of a sweep is small next to the outcomes, and Spark broadcasts it if its size allows.
+    ``runs`` (run, gate, top_per_bar, min_score, max_open) joins on the columns both sides share.
+    Without any, each outcome belongs to every run.
     """
     if trend is None:
         df = outcomes.withColumn("trend", F.lit(0))
     else:
         df = asof_join(outcomes, trend.select("ts", "trend"), "trend", default=F.lit(0))
     shared = [c for c in runs.columns if c in df.columns]
-    df = df.join(runs, shared) if shared else df.join(runs, F.lit(True))
+    if shared:
+        df = df.join(runs, shared)
+    else:
+        every = runs.agg(F.collect_list(F.struct(*runs.columns)).alias("runs"))
+        df = df.withColumn("_run", F.explode(one_row(every)["runs"])).select("*", "_run.*").drop("_run")
     d, t = F.col("direction"), F.col("trend")
     ok = (F.when(F.col("gate") == "off", True).when(F.col("gate") == "strict", gates.index_gate(d, t, "strict"))
           .otherwise(gates.index_gate(d, t)))
