@@ -49,7 +49,8 @@ def sweep_trades(hits: DataFrame, bars: DataFrame, trend: DataFrame | None, grid
     filters = variants.agg(F.collect_list(F.struct(*SIGNAL_KEYS)).alias("filters"))
     v = hits.withColumn("x", F.explode(one_row(filters)["filters"])).select("*", "x.*").drop("x")
     v = v.filter((~F.col("require_confirmation") | F.col("confirmed")) & (F.col("turnover") >= F.col("min_turnover")))
-    signals = O.in_scan_window(first_signals(v, SIGNAL_KEYS), session)
+    # signals feed the outcomes and the runs: written once, they are few next to the bars behind them
+    signals = pinned(O.in_scan_window(first_signals(v, SIGNAL_KEYS), session))
     key = ["symbol", "session_date", "ts", "strategy", "direction", "pattern"]
     priced = signals.drop(*SIGNAL_KEYS).dropDuplicates(key)
     settings = grid.select(*EXIT_KEYS).distinct().agg(F.collect_list(F.struct(*EXIT_KEYS)).alias("settings"))
@@ -87,7 +88,8 @@ def run_summary(walked: DataFrame, grid: DataFrame, capital: float = CAPITAL, mi
 
 def parameter_sweep(hits: DataFrame, bars: DataFrame, trend: DataFrame | None, grid: DataFrame, session: SessionSpec,
                     exit_spec: ExitSpec, **kw) -> DataFrame:
-    return run_summary(sweep_trades(hits, bars, trend, grid, session, exit_spec, **kw), grid)
+    # four summaries read the walk
+    return run_summary(pinned(sweep_trades(hits, bars, trend, grid, session, exit_spec, **kw)), grid)
 
 
 def top_configs(results: DataFrame, k: int, by: str = "fitness", tie: str = "run") -> DataFrame:
