@@ -14,7 +14,12 @@ from barloom.spec import AROUND_THE_CLOCK, SessionSpec
 
 checks = Checks()
 OHLC = ["open", "high", "low", "close"]
-BAR_OUT = ["symbol", "ts", *[F.round(c, 6).alias(c) for c in OHLC], "volume"]
+
+
+def bar_out():
+    return ["symbol", "ts", *rds(*OHLC), "volume"]
+
+
 SQL_BAR = "symbol, ts, " + ", ".join(f"round({c}, 6) AS {c}" for c in OHLC) + ", volume"
 
 
@@ -32,7 +37,7 @@ def bar_folder(spark, d, **renames):
 SELECT {SQL_BAR.replace('symbol', 'upper(symbol) AS symbol', 1)} FROM bars WHERE volume > 0 AND symbol <> 'view'
 QUALIFY count(*) OVER (PARTITION BY symbol) >= 4""")
 def _(spark, d):
-    return B.read_bars(spark, bar_folder(spark, d), tz="UTC", skip=("View",)).select(*BAR_OUT)
+    return B.read_bars(spark, bar_folder(spark, d), tz="UTC", skip=("View",)).select(*bar_out())
 
 
 DAILY = """SELECT symbol, session_date, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low,
@@ -51,7 +56,7 @@ def _(spark, d):
 SELECT {SQL_BAR.replace('symbol', 'upper(symbol) AS symbol', 1)} FROM bars WHERE volume > 0
 QUALIFY count(*) OVER (PARTITION BY symbol) > 50 + 14 + 5""")
 def _(spark, d):
-    return B.read_bars_min_history(spark, bar_folder(spark, d), tz="UTC").select(*BAR_OUT)
+    return B.read_bars_min_history(spark, bar_folder(spark, d), tz="UTC").select(*bar_out())
 
 
 # instrument master derived from suppliers (cash rows) and customers (derivative rows)
@@ -117,7 +122,7 @@ FROM bars""")
 def _(spark, d):
     path = scratch_path(spark, "bars")
     B.write_bars(catalog.bars(spark, d), path, "60m")
-    return spark.read.parquet(path).select(*BAR_OUT, F.col("interval").cast("string").alias("interval"), "year", "month")
+    return spark.read.parquet(path).select(*bar_out(), F.col("interval").cast("string").alias("interval"), "year", "month")
 
 
 @checks.add("s11_write_results_csv", with_views("trades") + """
@@ -144,7 +149,7 @@ def old_new(spark, d):
 
 @checks.add("s13_merge_bars", with_views("bars", **OLD_NEW) + f"SELECT {SQL_BAR} FROM merged")
 def _(spark, d):
-    return B.merge_bars(*old_new(spark, d)).select(*BAR_OUT)
+    return B.merge_bars(*old_new(spark, d)).select(*bar_out())
 
 
 @checks.add("s13_merge_counts", with_views("bars", **OLD_NEW) + """
@@ -180,7 +185,7 @@ SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6)
 FROM loc WHERE open IS NOT NULL AND ts::TIME BETWEEN TIME '09:15:00' AND TIME '15:30:00'
 QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY event_id DESC) = 1""")
 def _(spark, d):
-    return C.standardize_bars(raw_feed(spark, d), NSE_DAY, ["symbol"], ["event_id"]).select(*BAR_OUT)
+    return C.standardize_bars(raw_feed(spark, d), NSE_DAY, ["symbol"], ["event_id"]).select(*bar_out())
 
 
 @checks.add("p2_to_session_tz", """
@@ -213,13 +218,13 @@ def _(spark, d):
 
 @checks.add("p5_drop_dead_bars", with_views("ticks") + f"SELECT {SQL_BAR} FROM ticks WHERE volume > 0")
 def _(spark, d):
-    return C.drop_dead_bars(catalog.ticks(spark, d)).select(*BAR_OUT)
+    return C.drop_dead_bars(catalog.ticks(spark, d)).select(*bar_out())
 
 
 @checks.add("p6_drop_forming_bar", with_views("ticks") + f"""
 SELECT {SQL_BAR} FROM ticks QUALIFY ts < max(ts) OVER (PARTITION BY symbol)""")
 def _(spark, d):
-    return C.drop_forming_bar(catalog.ticks(spark, d), ["symbol"]).select(*BAR_OUT)
+    return C.drop_forming_bar(catalog.ticks(spark, d), ["symbol"]).select(*bar_out())
 
 
 UNDER = """under AS (SELECT DISTINCT upper(split_part(trading_symbol, '-', 1)) AS underlying FROM instr
@@ -270,7 +275,7 @@ def _(spark, d):
 SELECT {SQL_BAR}, NULL::VARCHAR AS source FROM oldb UNION ALL SELECT {SQL_BAR}, 'new' FROM newb""")
 def _(spark, d):
     old, new = old_new(spark, d)
-    return C.union_bars(old, new.withColumn("source", F.lit("new"))).select(*BAR_OUT, "source")
+    return C.union_bars(old, new.withColumn("source", F.lit("new"))).select(*bar_out(), "source")
 
 
 @checks.add("u3_dedupe", f"""
@@ -288,7 +293,7 @@ SELECT {SQL_BAR} FROM bars WHERE session_date IN (SELECT DISTINCT session_date F
 QUALIFY count(*) OVER (PARTITION BY symbol) >= 4""")
 def _(spark, d):
     b = catalog.bars(spark, d)
-    return C.filter_dates(b, b.filter(F.dayofmonth("session_date") % 3 == 0), 4).select(*BAR_OUT)
+    return C.filter_dates(b, b.filter(F.dayofmonth("session_date") % 3 == 0), 4).select(*bar_out())
 
 
 # bars with defects injected by row id
@@ -332,14 +337,11 @@ def _(spark, d):
     return rep.select("symbol", "rows", "ok", F.array_join("issues", "|").alias("issues"))
 
 
-DAY_OUT = ["symbol", "session_date", *[F.round(c, 6).alias(c) for c in OHLC], "volume"]
-
-
 @checks.add("d1_bars_daily", with_views("bars", days=DAILY.format(src="bars")) + """
 SELECT symbol, session_date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close,
   volume FROM days WHERE volume > 0""")
 def _(spark, d):
-    return C.daily_bars(catalog.bars(spark, d), ["symbol"]).select(*DAY_OUT)
+    return C.daily_bars(catalog.bars(spark, d), ["symbol"]).select("symbol", "session_date", *rds(*OHLC), "volume")
 
 
 @checks.add("d2_bars_15m", with_views("ticks") + f"""
@@ -348,7 +350,7 @@ SELECT symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, round(arg_min(open, ti
 FROM ticks WHERE ts::TIME >= TIME '09:15:00' AND ts::TIME < TIME '15:30:00' GROUP BY 1, 2""")
 def _(spark, d):
     s = NSE_DAY
-    return C.coarser_bars(catalog.ticks(spark, d), 15, ["symbol"], keep=(s.open, s.close - 15)).select(*BAR_OUT)
+    return C.coarser_bars(catalog.ticks(spark, d), 15, ["symbol"], keep=(s.open, s.close - 15)).select(*bar_out())
 
 
 @checks.add("d24_distinct_dates_ts", with_views("bars") + """

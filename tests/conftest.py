@@ -23,3 +23,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf01():
+    """Large enough for session bars to hold patterns."""
+    return "/root/testdata/sf0.01"
