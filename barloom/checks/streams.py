@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from barloom import catalog
 from barloom.checks import stand_ins as X
 from barloom.checks.registry import Checks, rd, rds, sql_rd
+from barloom.checks.indicators import TREND
 from barloom.checks.signals import SIG_NUM, SIGNALS
 from barloom.checks.views_sql import with_views
 from barloom.operators import exits as E
@@ -115,7 +116,9 @@ def _(spark, d):
     return out.groupBy("account", "day").agg(F.max("trades").alias("trades"), F.round(F.max_by("net", "trades"), 4).alias("net"))
 
 
-@checks.add("st7_stream_trend")
+@checks.add("st7_stream_trend", with_views("bars", "index_bars", recursive=True, **TREND, tr="SELECT * FROM trend WHERE hour(ts) % 3 <> 2") + """
+SELECT b.symbol, b.ts, CASE WHEN b.close >= b.open THEN 1 ELSE -1 END::INT AS direction, coalesce(n.trend, p.trend) AS trend, CASE WHEN n.ts IS NOT NULL THEN 0 ELSE 1 END::INT AS age
+FROM bars b LEFT JOIN tr n ON n.ts = b.ts LEFT JOIN tr p ON p.ts = b.ts - INTERVAL 1 HOUR WHERE n.ts IS NOT NULL OR p.ts IS NOT NULL""")
 def _(spark, d):
     sig = catalog.bars(spark, d).select("symbol", "ts", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1).alias("direction"))
     tr = index_trend(catalog.index_bars(spark, d)).filter("hour(ts) % 3 <> 2").select("ts", "trend")
