@@ -121,8 +121,8 @@ UNION ALL SELECT symbol, ts, 'GapFill Long', 1 FROM c WHERE close > or_high AND
 UNION ALL SELECT symbol, ts, 'GapFill Short', -1 FROM c WHERE close < or_low AND pc >= or_low AND m >= 180 AND m < 960 AND k >= 4""")
 def _(spark, d):
     lay = L.session_layout(L.opening_range(catalog.bars(spark, d), X.CLOCK))
-    hits = F.array_compact(F.array(*P.level_cross_hits(lay, X.CLOCK)))
-    lay = lay.with_columns(k=lay.position(), hits=hits)
+    lay = P.with_lags(lay).with_columns(k=lay.position())
+    lay = lay.with_columns(hits=P.found(P.level_cross_hits(X.CLOCK)))
     return (lay.df.filter("k >= 4").select("symbol", "ts", F.explode("hits").alias("h"))
             .select("symbol", "ts", "h.name", "h.direction"))
 
@@ -146,7 +146,7 @@ CANDLE_HITS = """SELECT *, list_filter([
 SELECT symbol, ts, array_to_string(names, '|') AS names FROM ch WHERE len(names) > 0""")
 def _(spark, d):
     lay = L.session_layout(catalog.bars(spark, d))
-    lay = lay.with_columns(hits=F.array_compact(F.array(*P.candle_hits(lay))))
+    lay = P.with_lags(lay).with_columns(hits=P.found(P.candle_hits()))
     return lay.df.filter(F.size("hits") > 0).select("symbol", "ts", F.array_join("hits.name", "|").alias("names"))
 
 
@@ -306,7 +306,7 @@ def _(spark, d):
 
     lay = confluence_inputs(lay_out(catalog.ticks(spark, d), ["symbol"], ["ts"], back=WARM_ROWS))
     df = lay.finish().withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
-    boost, tags = G.confluence(F.col("direction"))
+    boost, tags = G.confluence()
     return df.select("symbol", "ts", "direction", boost.alias("boost"), tags.alias("tags"))
 
 
@@ -492,7 +492,7 @@ def _(spark, d):
     lay = confluence_inputs(lay_out(catalog.ticks(spark, d), ["symbol"], ["ts"], back=WARM_ROWS))
     df = lay.finish().withColumn("direction", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1))
     df = df.join(views(spark, d).select("symbol", "dir", "up_prob"), "symbol")
-    boost, _tags = G.confluence(F.col("direction"))
+    boost, _tags = G.confluence()
     return df.select("symbol", "ts", (F.lit(6) + boost + G.forecast_gate(F.col("direction"), F.col("dir"), F.col("up_prob"))["adjust"]).alias("score"))
 
 

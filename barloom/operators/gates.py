@@ -33,22 +33,20 @@ def confirmed(lay: Layout, direction: Column) -> Column:
     return (ph.isNull() | ((direction > 0) & (c > ph)) | ((direction < 0) & (c < pl)) | (direction == 0))
 
 
-def confluence(direction: Column) -> tuple[Column, Column]:
-    """(score, tags) of the indicators that agree with the direction.
+def confluence(direction: str = "direction") -> tuple[Column, Column]:
+    """(score, tags) of the indicators that agree with the direction column.
 
     Reads rsi, supertrend, ema20, cmf, macd_hist, close and rows_so_far; a missing value adds nothing.
     """
-    up, down = direction > 0, direction < 0
-    rsi, ema, flow, macd, c = (F.col(x) for x in ("rsi", "ema20", "cmf", "macd_hist", "close"))
+    d = direction
     # fixed values: tags of the confluence score, one point each
-    votes = [F.when(up & (rsi >= 45) & (rsi < 70), "RSI+").when(down & (rsi > 30) & (rsi <= 55), "RSI-"),
-             F.when(F.col("supertrend") == F.signum(direction.cast("double")), "ST+"),
-             F.when(up & (c >= ema), "EMA+").when(down & (c <= ema), "EMA-"),
-             F.when(up & (flow > 0), "CMF+").when(down & (flow < 0), "CMF-"),
-             F.when(up & (macd > 0), "MACD+").when(down & (macd < 0), "MACD-")]
-    enough = (F.col("rows_so_far") >= 5) & (direction != 0)
-    tags = F.when(enough, F.array_compact(F.array(*votes))).otherwise(F.array().cast("array<string>"))
-    return F.size(tags), F.array_join(tags, ",")
+    votes = [f"CASE WHEN {d} > 0 AND rsi >= 45 AND rsi < 70 THEN 'RSI+' WHEN {d} < 0 AND rsi > 30 AND rsi <= 55 THEN 'RSI-' END",
+             f"CASE WHEN supertrend = sign({d}) THEN 'ST+' END",
+             f"CASE WHEN {d} > 0 AND close >= ema20 THEN 'EMA+' WHEN {d} < 0 AND close <= ema20 THEN 'EMA-' END",
+             f"CASE WHEN {d} > 0 AND cmf > 0 THEN 'CMF+' WHEN {d} < 0 AND cmf < 0 THEN 'CMF-' END",
+             f"CASE WHEN {d} > 0 AND macd_hist > 0 THEN 'MACD+' WHEN {d} < 0 AND macd_hist < 0 THEN 'MACD-' END"]
+    tags = f"CASE WHEN rows_so_far >= 5 AND {d} <> 0 THEN array_compact(array({', '.join(votes)})) ELSE CAST(array() AS array<string>) END"
+    return F.expr(f"size({tags})"), F.expr(f"array_join({tags}, ',')")
 
 
 def first_per_day(signals: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

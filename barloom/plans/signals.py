@@ -136,7 +136,7 @@ def scored_hits(bars: DataFrame, zones: DataFrame | None, gaps: DataFrame | None
         hits = hits.withColumns({"gap_pct": F.lit(None).cast("double"), "gap_dir": F.lit(None).cast("string"),
                                  "daily_atr": F.lit(None).cast("double")})
     df = apply_strategies(hits, strategies or stock_strategies(), spec)
-    score, tags = gates.confluence(F.col("direction"))
+    score, tags = gates.confluence()
     cut = (lambda c: F.round(c, decimals)) if decimals is not None else (lambda c: c)
     df = df.withColumns({"score": (F.col("strength") + score), "ta": tags,
                          "side": F.when(F.col("direction") > 0, "BUY").otherwise("SELL"),

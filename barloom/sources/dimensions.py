@@ -102,6 +102,7 @@ def forecast_lines(scales: DataFrame, generated_utc: str, model: str, skill: flo
                 F.array(*[F.lit(b) for b in bounds]).alias("scale_bounds"), "symbols")).alias("value")))
 
 
+# fixed values: fields of a stored ledger row
 LEDGER_ROW = ("date string, strategy string, side string, pnl double, r double, outcome string, nifty int, kronos string, "
               "hour int")
 
