@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-LANE, BASE, HALO = "_lane", "_base", "_halo"
+LANE, BASE, HALO, TOTAL = "_lane", "_base", "_halo", "_total"
 HEAVY_ROWS = 4_000_000
 
 
@@ -88,7 +88,7 @@ class Layout:
         df = self.df if df is None else df
         if not self.split:
             return df
-        return df.filter(~F.col(HALO)).drop(LANE, BASE, HALO)
+        return df.filter(~F.col(HALO)).drop(LANE, BASE, HALO, TOTAL)
 
 
 def key_weight(df: DataFrame, keys: list[str]) -> tuple[int, int]:
@@ -126,7 +126,7 @@ def _split(df: DataFrame, keys: list[str], order: list[str], back: int, ahead: i
     ranged = df.repartitionByRange(lanes, *keys, *order).withColumn(LANE, F.spark_partition_id())
     rows = pinned(ranged)
     edges = lane_edges(rows, keys)
-    own = (rows.join(F.broadcast(edges.select(*keys, LANE, BASE)), [*keys, LANE], "left")
+    own = (rows.join(F.broadcast(edges.select(*keys, LANE, BASE, TOTAL)), [*keys, LANE], "left")
            .withColumn(BASE, F.greatest(F.coalesce(BASE, F.lit(0)) - F.lit(back), F.lit(0)).cast("long"))
            .withColumn(HALO, F.lit(False)))
     if back or ahead:
@@ -135,11 +135,15 @@ def _split(df: DataFrame, keys: list[str], order: list[str], back: int, ahead: i
 
 
 def lane_edges(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Lanes of the series that continue over several lanes: at most two rows per lane."""
+    """Lanes of the series that continue over several lanes: at most two rows per lane.
+
+    ``TOTAL`` is the length of the whole series; it is null on rows of series within one lane.
+    """
     sizes = rows.groupBy(*keys, LANE).agg(F.count(F.lit(1)).alias("_n"))
     span = Window.partitionBy(*keys)
     before = span.orderBy(LANE).rowsBetween(Window.unboundedPreceding, -1)
     return (sizes.withColumn(BASE, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long"))
+            .withColumn(TOTAL, F.sum("_n").over(span))
             .withColumn("_lanes", F.count(F.lit(1)).over(span)).filter("_lanes > 1").drop("_lanes"))
 
 

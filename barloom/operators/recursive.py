@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from barloom.operators.layout import BASE, Layout, lay_out, pick_mode
+from barloom.operators.layout import BASE, TOTAL, Layout, lay_out, pick_mode
 from barloom.operators.rolling import cmf, cumulative_vwap, previous, rsi_sma, session_vwap, sma, true_range
 
 TINY = 1e-9
@@ -88,10 +88,11 @@ def directional(h, l, c, p: int, first: bool) -> np.ndarray:
     return seeded(gap, 0, p, False)
 
 
-# name -> (inputs are the ordered arrays of one partition; base counts earlier rows of the series)
-def _compute(name: str, g: dict[str, np.ndarray], base: int) -> np.ndarray:
+# arrays are the ordered rows of one partition; base counts the series' rows before them, total all of its rows
+def _compute(name: str, g: dict[str, np.ndarray], base: int, total: int | None = None) -> np.ndarray:
     h, l, c, v = (g[k] for k in ("high", "low", "close", "volume"))
     first, n = base == 0, len(c)
+    total = base + n if total is None else total
     pos = base + np.arange(1, n + 1)
     kind, _, arg = name.partition(":")
     p = int(arg or 0)
@@ -110,11 +111,11 @@ def _compute(name: str, g: dict[str, np.ndarray], base: int) -> np.ndarray:
         return np.where(pos >= p, smooth(tr, 1.0 / p), np.nan)
     if kind == "rsi":  # 50 for a series of at most p rows, zero rows read as no gains
         out = np.where(pos > p, wilder_rsi(c, p, first), 0.0)
-        return np.full(n, 50.0) if base + n <= p else out
+        return np.full(n, 50.0) if total <= p else out
     if kind == "adx":
         return np.where(pos >= 2 * p, directional(h, l, c, p, first), np.nan)
     if kind == "adx_feature":  # 20 for a short series, zero before the seed
-        if base + n < 2 * p:
+        if total < 2 * p:
             return np.full(n, 20.0)
         return np.nan_to_num(np.where(pos >= 2 * p, directional(h, l, c, p, first), 0.0))
     if kind == "macd_hist":
@@ -139,9 +140,9 @@ def recursive_columns(lay: Layout, wanted: dict[str, str]) -> Layout:
     def run(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, sort_keys=order))
         g = {k: table[k].to_numpy().astype(float) for k in ("high", "low", "close", "volume")}
-        base = table[BASE][0].as_py() if split else 0
+        base, total = (table[BASE][0].as_py(), table[TOTAL][0].as_py()) if split else (0, None)
         for n, kind in wanted.items():
-            values = _compute(kind, g, base)
+            values = _compute(kind, g, base, total)
             table = table.append_column(n, pa.array(values, pa.float64(), mask=np.isnan(values)))
         return table
 

@@ -48,8 +48,19 @@ def test_recursions_in_lanes(skewed):
     kinds = {"e": "ema:26", "a": "atr:14", "z": "atr_zero:14", "x": "adx:14", "r": "rsi:14", "m": "macd_hist", "w": "atr_ewm:14",
              "f": "adx_feature:14"}
     a = frame(REC.recursive(skewed, ["symbol"], kinds, "keyed"), kinds)
-    b = frame(REC.recursive(skewed, ["symbol"], kinds, "split", lanes=3), kinds)
-    same(a, b, kinds)
+    for lanes in (3, 40):
+        same(a, frame(REC.recursive(skewed, ["symbol"], kinds, "split", lanes=lanes), kinds), kinds)
+
+
+def test_first_rows_of_a_series_in_a_lane_of_their_own(spark):
+    """A cut shortly after the start must not make the series look short."""
+    df = spark.range(300).select(F.when(F.col("id") < 255, "A").otherwise("B").alias("symbol"), (F.lit("2024-01-01").cast("timestamp_ntz")
+                                 + F.make_interval(mins=F.col("id").cast("int"))).alias("ts"), (100 + F.sin("id")).alias("close"))
+    df = df.withColumns({"high": F.col("close") + 1, "low": F.col("close") - 1, "volume": F.lit(1)})
+    kinds = {"x": "adx_feature:14", "r": "rsi:14"}
+    a = frame(REC.recursive(df, ["symbol"], kinds, "keyed"), kinds)
+    for lanes in (7, 25, 60):
+        same(a, frame(REC.recursive(df, ["symbol"], kinds, "split", lanes=lanes), kinds), kinds)
 
 
 def test_running_totals_in_lanes(skewed):
