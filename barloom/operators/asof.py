@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.catalog import micros
+from barloom.operators.layout import one_row
 
 DAY = 86_400_000_000
 
@@ -26,20 +27,26 @@ def asof_join(left: DataFrame, right: DataFrame, value: str, by: list[str] = [],
     r = right.select(*by, bucket(right_ts).alias("_b"), micros(right_ts).alias("_t"), F.col(value).alias("_v"))
     folded = r.groupBy(*by, "_b").agg(F.array_sort(F.collect_list(F.struct("_t", "_v"))).alias("_rows"))
     l = left.withColumn("_b", bucket(left_ts)).withColumn("_t", micros(left_ts))
+    now = F.try_element_at(F.filter("_rows", lambda x: x["_t"] <= F.col("_t")), F.lit(-1))
     if same_bucket:
-        out = l.join(folded, [*by, "_b"], "left").withColumn(value, F.try_element_at(
-            F.filter("_rows", lambda x: x["_t"] <= F.col("_t")), F.lit(-1))["_v"])
+        out = l.join(folded, [*by, "_b"], "left").withColumn(value, now["_v"])
     else:
-        # buckets of both sides, so that a left bucket without right rows still finds the past
-        every = folded.select(*by, "_b", "_rows").unionByName(
-            l.select(*by, "_b").distinct().withColumn("_rows", F.lit(None).cast(folded.schema["_rows"].dataType)))
-        every = every.groupBy(*by, "_b").agg(F.max("_rows").alias("_rows"))
-        past = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        last = F.when(F.size("_rows") > 0, F.struct(F.element_at("_rows", -1)["_v"].alias("v")))
-        every = every.withColumn("_past", F.last(last, ignorenulls=True).over(past)["v"])
-        now = F.try_element_at(F.filter("_rows", lambda x: x["_t"] <= F.col("_t")), F.lit(-1))
-        out = l.join(every, [*by, "_b"], "left").withColumn(
-            value, F.when(now.isNotNull(), now["_v"]).otherwise(F.col("_past")))
+        # every bucket up to the last right row: those without right rows carry the value before them
+        w = Window.partitionBy(*by).orderBy("_b")
+        last = F.struct(F.element_at("_rows", -1)["_v"].alias("v"))
+        chain = folded.withColumns({"_last": last, "_past": F.lag(last).over(w), "_next": F.lead("_b").over(w)})
+        gap = F.when(F.col("_next") > F.col("_b") + 1, F.sequence(F.col("_b") + 1, F.col("_next") - 1))
+        gaps = chain.select(*by, F.explode(gap).alias("_b"), F.lit(None).cast(folded.schema["_rows"].dataType).alias("_rows"),
+                            F.col("_last").alias("_past"))
+        every = chain.select(*by, "_b", "_rows", "_past").unionByName(gaps)
+        ends = folded.groupBy(*by).agg(F.max("_b").alias("_end"), F.max_by(F.struct(F.element_at("_rows", -1)["_v"].alias("v")), "_b").alias("_final"))
+        out = l.join(every, [*by, "_b"], "left")
+        if by:
+            out = out.join(ends, by, "left")
+        else:
+            out = out.withColumn("_e", one_row(ends)).withColumns({"_end": F.col("_e._end"), "_final": F.col("_e._final")})
+        out = out.withColumn(value, F.when(now.isNotNull(), now["_v"]).when(F.col("_b") > F.col("_end"), F.col("_final.v"))
+                             .otherwise(F.col("_past.v")))
     if default is not None:
         out = out.withColumn(value, F.coalesce(F.col(value), default))
     return out.select(*left.columns, value)

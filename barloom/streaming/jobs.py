@@ -7,6 +7,7 @@ below the shared scratch folder, so a restarted query goes on where it stopped.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -188,13 +189,15 @@ def stream_rate_limit(events: DataFrame, seconds: int = 60, limit: int = 10, del
         if state.hasTimedOut:
             state.remove()
             return
-        times = list(state.get[0]) if state.exists else []
+        times = deque(state.get[0] if state.exists else [])
         rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
         out = []
         for ts, event in zip(rows["ts"].astype("datetime64[us]").astype("int64"), rows["event_id"]):
-            times = [t for t in times if ts - t < span] + [int(ts)]
+            while times and ts - times[0] >= span:
+                times.popleft()
+            times.append(int(ts))
             out.append((key[0], int(event), len(times), len(times) <= limit))
-        state.update((times,))
+        state.update((list(times),))
         end = times[-1] // 1000 + seconds * 1000 + 1
         if end > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(end)
