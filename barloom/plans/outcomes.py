@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barloom.functions import trading as T
 from barloom.operators import exits, gates
@@ -89,44 +91,46 @@ def admit(judged: DataFrame) -> DataFrame:
     The book is the only state that links trades. A group is one session of signals of one run, at
     most one per (symbol, strategy, direction), which the symbol universe bounds.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema.fields) + ", status string"
-    names, up = [n for n, _ in RANKING], [a for _, a in RANKING]
-
-    def walk(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(names, ascending=up, kind="stable").reset_index(drop=True)
-        cap, floor, top = (g[c].iloc[0] for c in ("max_open", "min_score", "top_per_bar"))
+    schema = StructType([*judged.schema.fields, StructField("status", StringType())])
+    order = [(n, "ascending" if up else "descending") for n, up in RANKING]
+
+    def walk(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        cap, floor, top = (table[c][0].as_py() for c in ("max_open", "min_score", "top_per_bar"))
+        when, out = (table[c].cast(pa.int64()).to_pylist() for c in ("ts", "exit_ts"))
+        symbol, score, ok = (table[c].to_pylist() for c in ("symbol", "score", "gate_ok"))
         busy_until, traded_at, status = [], {}, []
         bar, seen, tried, full = None, set(), 0, False
-        for ts, symbol, score, ok, out in zip(g["ts"], g["symbol"], g["score"], g["gate_ok"], g["exit_ts"]):
+        for ts, name, points, passed, end in zip(when, symbol, score, ok, out):
             if ts != bar:
                 # positions that ended on or before this bar have freed their slot
                 bar, seen, tried, full = ts, set(), 0, False
                 busy_until = [x for x in busy_until if x > ts]
-            if traded_at.get(symbol, ts) < ts:
+            if traded_at.get(name, ts) < ts:
                 word = "HELD"
-            elif not ok:
+            elif not passed:
                 word = "GATED"
-            elif symbol in seen:
+            elif name in seen:
                 word = "DUPLICATE"
             else:
-                seen.add(symbol)
+                seen.add(name)
                 tried += 1
                 if tried > top:
                     word = "BELOW_TOP"
                 elif full:
                     word = "CAP_REST"
-                elif score < floor:
+                elif points < floor:
                     word = "LOW_SCORE"
                 elif len(busy_until) >= cap:
                     word, full = "CAP", True
                 else:
                     word = "TAKEN"
-                    busy_until.append(out)
-                    traded_at[symbol] = ts
+                    busy_until.append(end)
+                    traded_at[name] = ts
             status.append(word)
-        return g.assign(status=status)
+        return table.append_column("status", pa.array(status, pa.string()))
 
-    return judged.groupBy("run", "session_date").applyInPandas(walk, schema)
+    return judged.groupBy("run", "session_date").applyInArrow(walk, schema)
 
 
 def admission_counts(walked: DataFrame) -> DataFrame:
