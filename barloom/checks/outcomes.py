@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from barloom import catalog
 from barloom.checks import stand_ins as X
-from barloom.checks.indicators import TREND
-from barloom.checks.registry import Checks, rd, rds, sql_rd
+from barloom.checks.registry import Checks, rd, rds
 from barloom.checks.signals import OR, SIGNALS
 from barloom.checks.views_sql import with_views
 from barloom.functions import trading as T
@@ -15,7 +14,6 @@ from barloom.operators import exits as E, levels as L, performance as PF
 from barloom.operators.recursive import index_trend
 from barloom.operators.rolling import atr_sma, session_vwap
 from barloom.plans import outcomes as O
-from barloom.spec import CostSpec
 
 checks = Checks()
 

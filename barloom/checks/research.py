@@ -14,7 +14,7 @@ from barloom.checks.views_sql import with_views
 from barloom.functions import trading as T
 from barloom.operators import performance as P
 from barloom.operators.layout import one_row, scratch_path
-from barloom.operators.recursive import BASE_FEATURES, feature_frame, index_trend
+from barloom.operators.recursive import feature_frame, index_trend
 from barloom.plans import models as M, outcomes as O, resampling as RS, sweep as W
 from barloom.sources import dimensions as D
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from barloom import catalog
 from barloom.checks import stand_ins as X
-from barloom.checks.indicators import ADX, FLOW, MACD, MOVES, SNAP, TR, ema_step, frame, sql_fold, wilder_step
+from barloom.checks.indicators import ADX, SNAP, TR, TREND, ema_step, frame, sql_fold, wilder_step
 from barloom.checks.registry import Checks, rd, rds, sql_rd
 from barloom.checks.views_sql import with_views
 from barloom.operators import asof, clean as C, gates as G, levels as L, lookups as K, patterns as P
@@ -181,8 +181,6 @@ def bar_signals(spark, d):
     return catalog.bars(spark, d).withColumn("direction", F.when(F.col("close") >= F.col("open"), 1).otherwise(-1))
 
 
-from barloom.checks.indicators import TREND  # noqa: E402  (shared index-trend steps)
-
 # index trend on every other hour only, so that the as-of search has gaps to bridge
 SPARSE = "SELECT * FROM trend WHERE hour(ts) % 3 = 1 AND day(session_date) % 7 <> 0"
 
@@ -269,10 +267,6 @@ def sess(sql: dict) -> dict:
     return {**src, **{k: v.replace("FROM ticks", "FROM sessions") for k, v in sql.items()}}
 
 
-SESS_ADX = {k: v.replace("FROM walk", "FROM xwalk").replace("walk a JOIN num b", "xwalk a JOIN xnum b").replace("num b WHERE", "xnum b WHERE")
-            for k, v in ADX.items()}
-SESS_ADX = {{"num": "xnum", "walk": "xwalk", "t": "xt"}.get(k, k): v.replace("FROM t\n", "FROM xt\n").replace("xxnum", "xnum") for k, v in SESS_ADX.items()}
-
 # everything the signal rules read, one row per bar
 RICH = dict(o=OR, **sess(SNAP), atrn="SELECT num.*, avg(tr) OVER (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING) AS tr14 FROM num",
             atrw=f"""SELECT b.symbol, b.n, NULL::DOUBLE AS y, b.volume::DOUBLE AS ve FROM atrn b WHERE b.n = 1 UNION ALL
@@ -285,7 +279,6 @@ RICH = dict(o=OR, **sess(SNAP), atrn="SELECT num.*, avg(tr) OVER (PARTITION BY s
   FROM ind JOIN num USING (symbol, ts) JOIN atrw ON atrw.symbol = ind.symbol AND atrw.n = ind.n
   WINDOW pv AS (PARTITION BY ind.symbol ORDER BY ind.ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING),
          up AS (PARTITION BY ind.symbol ORDER BY ind.ts)""")
-del SESS_ADX
 
 
 def votes(d: str) -> str:
@@ -423,8 +416,7 @@ HITS = dict(cw=CANDLE.format(src="lev"), cn=CANDLE_HITS.replace("WHERE c0 IS NOT
     CASE WHEN strategy = 'CANDLE_STRUCT' THEN sl_method END AS sl_method FROM ex""")
 HITS["cand"] = HITS["cand"].replace("SELECT * EXCLUDE (nm), 3 + list_position(names, nm), dr,", "SELECT * EXCLUDE (nm, dr), 3 + list_position(names, nm), dr,")
 SIGNALS = dict(**LEVELS, **{"z" + k if k in ("t", "num", "walk") else k: v for k, v in ZONES.items()}, **GAPS, **HITS)
-for _k, _new in (("zt", "zt"), ("t20", "zt"), ("znum", None), ("zwalk", None), ("zw", None)):
-    SIGNALS[_k] = (SIGNALS[_k].replace("FROM t\n", "FROM zt\n") if _k == "t20" else SIGNALS[_k])
+# the zone walk under names of its own
 SIGNALS["t20"] = ZONES["t20"].replace("FROM t", "FROM zt")
 SIGNALS["zwalk"] = ZONES["walk"].replace("num b", "znum b").replace("FROM walk a", "FROM zwalk a")
 SIGNALS["zw"] = ZONES["zw"].replace("SELECT num.*", "SELECT znum.*").replace("FROM num JOIN walk", "FROM znum JOIN zwalk")

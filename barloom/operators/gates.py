@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from barloom.operators.layout import Layout
 from barloom.operators.rolling import previous
-from barloom.spec import EntrySpec
 
 
 def index_gate(direction: Column, trend: Column, mode: str = "soft") -> Column:
@@ -100,6 +99,3 @@ def usable_forecast(generated: Column, now: Column, model: Column, skill: Column
     """Fresh, from the expected model and with skill strictly above the minimum."""
     return fresh(generated, now, max_hours * 60) & (model == accepted_model) & (F.coalesce(skill, F.lit(0.0)) > min_skill)
 
-
-def entry_limits(spec: EntrySpec) -> Column:
-    return F.col("score") >= spec.min_score

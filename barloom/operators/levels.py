@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from barloom.catalog import minute_of_day
 from barloom.operators.clean import daily_bars
 from barloom.operators.layout import Layout, lay_out
-from barloom.operators.recursive import WARM_ROWS, recursive_columns, warm_up
+from barloom.operators.recursive import recursive_columns, warm_up
 from barloom.spec import SessionSpec
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.operators.clean import TS_ALIASES, daily_bars, drop_dead_bars, enough_rows, latest_per_key, resolve, to_session_tz
+from barloom.operators.clean import TS_ALIASES, drop_dead_bars, enough_rows, latest_per_key, resolve, to_session_tz
 
 BAR_SCHEMA = "ts string, open double, high double, low double, close double, volume double"
 

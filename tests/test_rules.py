@@ -3,13 +3,12 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions import trading as T
 from barloom.operators import clean as C, exits as E, gates as G, levels as L, recursive as REC
-from barloom.spec import AROUND_THE_CLOCK, CostSpec, ExitSpec, SessionSpec
+from barloom.spec import AROUND_THE_CLOCK, ExitSpec, SessionSpec
 from barloom.sources import bars as B, dimensions as D
 
 DAY = dt.date(2024, 1, 2)
