@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality"]
+MODULES = ["quality", "chat"]
 
 
 def checks() -> list:
