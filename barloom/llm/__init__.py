@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "chat"]
+MODULES = ["quality", "chat", "secrets"]
 
 
 def checks() -> list:
