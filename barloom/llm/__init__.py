@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "chat", "secrets"]
+MODULES = ["quality", "chat", "secrets", "simhash"]
 
 
 def checks() -> list:
