@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "chat", "secrets", "simhash"]
+MODULES = ["quality", "chat", "secrets", "simhash", "hosts"]
 
 
 def checks() -> list:
