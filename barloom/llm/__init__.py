@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "chat", "secrets", "simhash", "hosts", "warc"]
+MODULES = ["quality", "chat", "secrets", "simhash", "hosts", "warc", "langid"]
 
 
 def checks() -> list:
