@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "chat", "secrets", "simhash", "hosts", "warc", "langid", "html"]
+MODULES = ["quality", "chat", "secrets", "simhash", "hosts", "warc", "langid", "html", "decontaminate"]
 
 
 def checks() -> list:
