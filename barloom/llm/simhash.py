@@ -8,7 +8,8 @@ search runs on distinct fingerprints:
    number of candidate pairs for every threshold of that partition;
 3. a dynamic program picks thresholds t_i >= -1 with sum(t_i + 1) = max_bits + 1 at the least expected work. If
    two fingerprints differ in at most max_bits bits, at least one partition differs in at most t_i bits;
-4. each fingerprint goes to the bucket of its value in partition i and of every value within t_i bits of it;
+4. each fingerprint goes to the bucket of its value in partition i and of every value within ceil(t_i / 2) bits of it, so two
+   fingerprints within t_i bits meet halfway;
 5. a bucket of at most ``bucket_rows`` rows is compared in full inside one task, on all 64 bits, and gives a spanning forest of
    its links; a larger bucket is cut by four further groups of bits, again by the pigeonhole principle. As fingerprints
    are distinct, buckets shrink with every cut and no pair is lost: a bucket of which 9 bits are free holds at most 512 rows;
@@ -162,7 +163,8 @@ def thresholds(pairs: list[np.ndarray], widths: list[int], n: int, max_bits: int
         step: dict[int, tuple[float, list[int]]] = {}
         for used, (cost, chosen) in best.items():
             for t in range(-1, min(max_bits - used, width) + 1):
-                work = 0.0 if t < 0 else float(own[t]) + n * sum(math.comb(width, k) for k in range(t + 1))
+                half = (t + 1) // 2
+                work = 0.0 if t < 0 else float(own[min(2 * half, width)]) + n * sum(math.comb(width, k) for k in range(half + 1))
                 now = (cost + work, [*chosen, t])
                 if used + t + 1 not in step or now[0] < step[used + t + 1][0]:
                     step[used + t + 1] = now
@@ -207,7 +209,7 @@ def cuts(path: tuple[int, ...], groups: tuple[tuple[int, ...], ...], cut: int) -
 
 def probes(fps: DataFrame, groups: list[list[int]], levels: list[int]) -> DataFrame:
     """(path, value, fp): the buckets of every fingerprint."""
-    near = [masks(len(g), t) if t >= 0 else np.zeros(0, np.uint64) for g, t in zip(groups, levels, strict=True)]
+    near = [masks(len(g), (t + 1) // 2) if t >= 0 else np.zeros(0, np.uint64) for g, t in zip(groups, levels, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
