@@ -235,8 +235,12 @@ def matches(texts: list[str | None], idx: Index) -> list[list[dict]]:
             # a stretch within the limit holds all but ``most`` of the item's words
             shared = sum(map(idx.kinds[item].__contains__, symbols[a:b].tolist()))
             found = best_stretch(own, symbols[a:b], most) if shared >= len(own) - most else None
-            if found and (found[0], a + found[1], a + found[2]) not in known:
-                known.append((found[0], a + found[1], a + found[2]))
+            if found:  # once more around its place: the window may have started too early or too late to hold all of it
+                a = max(low, a + found[1] - most)
+                found = best_stretch(own, symbols[a:min(high, a + len(own) + 3 * most)], most) or found
+                place = (found[0], a + found[1], a + found[2])
+                if not known or place[1] >= known[-1][2]:
+                    known.append(place)
     for (doc, item), places in taken.items():
         for edits, a, b in places:
             at, to = int(first[a] - starts[doc]), int(last[b - 1] - starts[doc])

@@ -303,6 +303,8 @@ def links(fps: DataFrame, max_bits: int = 3, parts: int = 4, bucket_rows: int =
     levels = thresholds(candidate_pairs(fps, groups), [len(g) for g in groups], n, max_bits)
     rows, found = stored(probes(fps, groups, levels), "probes"), None
     cut = max_bits + 1
+    # with fewer than ``cut`` free bits a bucket cannot be cut further, and holds at most this many rows
+    bucket_rows = max(bucket_rows, 1 << cut)
     while True:
         hot = rows.groupBy("path", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows).select("path", "value")
         hot = stored(hot, "hot")
