@@ -43,7 +43,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = (table(spark, sf_dir, "events").filter("user_id % 2 = 0")
+    ev = (table(spark, sf_dir, "events")
           .select("ts", (100.0 + F.col("value") * (SCALE / 100)).alias("price"), F.lit(1).alias("size")))
     return bucket_bars(ev, 60, [])
 

@@ -249,6 +249,13 @@ def _(spark, d):
     return R.sliding_rate(catalog.table(spark, d, "events"), "event_type", "event_id", seconds=1800, limit=2).select("event_id", "recent", "ok")
 
 
+@checks.add("w36_sliding_rate_long_window", """
+SELECT event_id, count(*) OVER w AS recent, count(*) OVER w <= 40 AS ok FROM events
+WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '239 hours 59 minutes 59.999999 seconds' PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    return R.sliding_rate(catalog.table(spark, d, "events"), "user_id", "event_id", seconds=864_000, limit=40).select("event_id", "recent", "ok")
+
+
 STATES = list(R.TRANSITIONS)
 ST_SQL = "[" + ", ".join(f"'{s}'" for s in STATES) + "]"
 

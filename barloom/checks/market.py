@@ -24,12 +24,22 @@ SQL_BAR = "symbol, ts, " + ", ".join(f"round({c}, 6) AS {c}" for c in OHLC) + ",
 
 
 def bar_folder(spark, d, **renames):
-    """The stand-in bars as CSV files, one folder per symbol."""
+    """The stand-in bars as CSV files, one folder per symbol, in three column orders, one of them with a further column.
+
+    Beside them lie bars without a volume column of a symbol that no query expects and a file without prices.
+    """
     path = scratch_path(spark, "bars-csv")
     df = catalog.bars(spark, d).drop("session_date")
     for old, new in renames.items():
         df = df.withColumnRenamed(old, new)
-    B.write_csv(df, path, ("symbol",))
+    names = [c for c in df.columns if c != "symbol"]
+    orders = [names, names[::-1], [*names[3:], "note", *names[:3]]]
+    for k, order in enumerate(orders):
+        part = df.filter(F.pmod(F.crc32(F.encode("symbol", "UTF-8")), F.lit(3)) == k).withColumn("note", F.lit("a,b"))
+        B.write_csv(part.select("symbol", *order), f"{path}/{k}", ("symbol",))
+    B.write_csv(df.limit(3).select(F.lit("NOPRICE").alias("symbol"), names[0]), f"{path}/broken", ("symbol",))
+    if not renames:
+        B.write_csv(df.limit(30).select(F.lit("NOVOLUME").alias("symbol"), *[c for c in names if c != "volume"]), f"{path}/flat", ("symbol",))
     return path
 
 
@@ -303,7 +313,7 @@ BAD = """
     CASE WHEN event_id % 89 = 0 THEN 98.0 ELSE 101.0 + value END::DOUBLE AS high,
     CASE WHEN event_id % 83 = 0 THEN 100.5 ELSE 99.0 END::DOUBLE AS low,
     CASE WHEN event_id % 211 = 0 THEN 0.0 ELSE 99.5 + value END::DOUBLE AS close,
-    CASE WHEN event_id % 67 = 0 THEN -1 ELSE 5 END::BIGINT AS volume FROM events WHERE user_id % 2 = 0"""
+    CASE WHEN event_id % 67 = 0 THEN -1 ELSE 5 END::BIGINT AS volume FROM events"""
 
 
 def bad_bars(spark, d):
@@ -311,7 +321,7 @@ def bad_bars(spark, d):
     day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz")
     ts = (F.when(e % 301 == 0, F.lit(None)).when(e % 97 == 0, F.col("ts") - F.expr("INTERVAL 2 DAY"))
           .otherwise(day + F.make_dt_interval(mins=F.floor(e / 2).cast("int"))))
-    return catalog.table(spark, d, "events").filter("user_id % 2 = 0").select(
+    return catalog.table(spark, d, "events").select(
         F.col("user_id").alias("symbol"), "event_id", ts.alias("ts"), F.lit(100.0).alias("open"),
         F.when(e % 89 == 0, 98.0).otherwise(101.0 + v).alias("high"), F.when(e % 83 == 0, 100.5).otherwise(99.0).alias("low"),
         F.when(e % 211 == 0, 0.0).otherwise(99.5 + v).alias("close"), F.when(e % 67 == 0, -1).otherwise(5).cast("long").alias("volume"))

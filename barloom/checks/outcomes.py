@@ -199,6 +199,15 @@ def _(spark, d):
     return out.select("symbol", "side", "entry_ts", "exit_ts", rd("exit_price"), "outcome")
 
 
+@checks.add("j7_first_touch_carry_copies", with_views("bars", n=NEXT, c=LATE, x=touch_sql("c", same_day=False)) + f"SELECT {EXIT_OUT} FROM x, range(2)")
+def _(spark, d):
+    n = E.next_bar_entry(catalog.bars(spark, d)).filter("entry_ts is not null")
+    e = F.col("entry_price")
+    c = n.select("symbol", "session_date", "ts", "entry_ts", "entry_price", F.lit("BUY").alias("side"), (e * 0.97).alias("sl"), (e * 1.03).alias("tgt"))
+    out = E.first_touch_exit(c.unionByName(c), catalog.bars(spark, d), X.CLOCK, carry=True)
+    return out.select("symbol", "side", "entry_ts", "exit_ts", rd("exit_price"), "outcome")
+
+
 @checks.add("w40_excursion_peak", with_views("bars", n=NEXT, c=BOTH, x=touch_sql("c")) + """
 SELECT x.symbol, x.side, x.entry_ts, round(greatest(max(CASE WHEN side = 'BUY' THEN b.high - entry_price ELSE entry_price - b.low END), 0), 6) AS best_fav
 FROM x JOIN bars b ON x.symbol = b.symbol AND b.ts BETWEEN x.entry_ts AND x.exit_ts GROUP BY 1, 2, 3""")

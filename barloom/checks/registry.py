@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from barloom.shipping import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -21,6 +23,7 @@ class Checks:
 
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 spark.conf.set("spark.sql.session.timeZone", "UTC")
+                ship(spark)
                 return fn(spark, sf_dir)
 
             self.queries[name] = run

@@ -327,9 +327,9 @@ def scored_pairs(spark, d):
     return g.withColumn("score", T.grid_score(F.col("p"), s, t, F.col("atr_frac")))
 
 
-@checks.add("j9_rr_grid_cross", with_views("ticks", pr=PAIRS) + "SELECT symbol, ts, s AS sl_mult, t AS tgt_mult FROM ticks, pr WHERE volume > 80")
+@checks.add("j9_rr_grid_cross", with_views("ticks", pr=PAIRS) + "SELECT symbol, ts, s AS sl_mult, t AS tgt_mult FROM ticks, pr")
 def _(spark, d):
-    return M.rr_grid_cross(catalog.ticks(spark, d).filter("volume > 80").select("symbol", "ts")).drop("pair_no")
+    return M.rr_grid_cross(catalog.ticks(spark, d).select("symbol", "ts")).drop("pair_no")
 
 
 @checks.add("f5_grid_score", with_views("ticks", recursive=True, **FEAT, **SCORE) + """

@@ -15,7 +15,7 @@ VIEWS = {
          arg_min(100.0::DOUBLE + value * 0.010471975511965976::DOUBLE, events.ts) AS open, max(100.0::DOUBLE + value * 0.010471975511965976::DOUBLE) AS high,
          min(100.0::DOUBLE + value * 0.010471975511965976::DOUBLE) AS low, arg_max(100.0::DOUBLE + value * 0.010471975511965976::DOUBLE, events.ts) AS close,
          CAST(count(*) AS BIGINT) AS volume
-  FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2""",
+  FROM events GROUP BY 1, 2""",
     "ticks": """
   SELECT concat('U', user_id) AS symbol, ts, CAST(ts AS DATE) AS session_date, o AS open,
          greatest(o, c) + (event_id % 7)::DOUBLE * 0.5 AS high, least(o, c) - (event_id % 5)::DOUBLE * 0.5 AS low,

@@ -85,16 +85,19 @@ def _carried(candidates: DataFrame, bars: DataFrame, limit: int | None, optimist
     closes = F.exists("path", lambda b: b["minute"] >= limit) if limit is not None else F.lit(False)
     paths = paths.withColumn("_last_no", F.coalesce(F.min(F.when(closes, F.col("_no"))).over(ahead), F.max("_no").over(ahead)))
     spans = paths.select("symbol", "session_date", F.col("_no").alias("_from"), "_last_no")
-    spread = candidates.join(spans, ["symbol", "session_date"]).withColumn("_no", F.explode(F.sequence("_from", "_last_no")))
-    tried = _resolve(spread, paths.select("symbol", "_no", "path"), ["symbol", "_no"], limit, optimistic, None, "")
     keep = candidates.columns
+    # equal candidates are carried once and told apart again at the end
+    once = candidates.groupBy(*keep).agg(F.count(F.lit(1)).alias("_copies"))
+    spread = once.join(spans, ["symbol", "session_date"]).withColumn("_no", F.explode(F.sequence("_from", "_last_no")))
+    tried = _resolve(spread, paths.select("symbol", "_no", "path"), ["symbol", "_no"], limit, optimistic, None, "")
     # the earliest session with an exit wins; without one the last bar of all sessions is the end
     done = F.when(F.col("outcome") != "", F.col("_no"))
-    best = tried.groupBy(*keep).agg(
+    best = tried.groupBy(*keep, "_copies").agg(
         F.min_by(F.struct("exit_ts", "exit_price", "outcome"), done).alias("a"),
         F.max_by(F.struct("exit_ts", "exit_price"), F.when(F.col("exit_ts").isNotNull(), F.col("_no"))).alias("z"),
         F.min(done).alias("n"))
     won = F.col("n").isNotNull()
+    best = best.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
     return best.select(*keep, F.when(won, F.col("a.exit_ts")).otherwise(F.col("z.exit_ts")).alias("exit_ts"),
                        F.when(won, F.col("a.exit_price")).otherwise(F.col("z.exit_price")).alias("exit_price"),
                        F.when(won, F.col("a.outcome")).otherwise(at_end).alias("outcome"))

@@ -139,10 +139,11 @@ def blocked_by_cooldown(entries: DataFrame, exits: DataFrame, minutes: int = 30)
 def sliding_rate(events: DataFrame, key: str, id_col: str, seconds: int = 60, limit: int = 10, slot_seconds: int = 3600) -> DataFrame:
     """Adds ``recent`` (events of the key in the trailing window, itself included) and ``ok``.
 
-    Time is cut into slots, and the events of the window before a slot are copied into it, so a
+    Time is cut into slots, at least as long as the window, and the events of the window before a slot are copied into it, so a
     busy key spreads over its slots and every frame still sees all of its events.
     """
-    span, slot = seconds * 1_000_000, slot_seconds * 1_000_000
+    span = seconds * 1_000_000
+    slot = max(slot_seconds * 1_000_000, span)
     t = events.withColumn("_t", micros("ts")).withColumn("_s", F.floor(F.col("_t") / F.lit(slot)).cast("long"))
     own = t.withColumn("_copy", F.lit(False))
     late = t.filter(F.col("_t") % slot >= slot - span).withColumns({"_s": F.col("_s") + 1, "_copy": F.lit(True)})

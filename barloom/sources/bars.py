@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from barloom.operators.clean import TS_ALIASES, drop_dead_bars, enough_rows, latest_per_key, resolve, to_session_tz
+from barloom.operators.clean import TS_ALIASES, drop_dead_bars, enough_rows, latest_per_key, to_session_tz
+from barloom.sources.headers import FILE, read_by_header
 
-BAR_SCHEMA = "ts string, open double, high double, low double, close double, volume double"
+PRICES = ["open", "high", "low", "close"]
 
 
 def symbol_of_path() -> Column:
     """Upper-cased ``symbol=`` path component if there is one, else the file stem."""
-    path = F.col("_metadata.file_path")
+    path = F.col(FILE)
     part = F.regexp_extract(path, r"/symbol=([^/]+)/", 1)
     stem = F.regexp_extract(path, r"([^/]+)\.[A-Za-z]+$", 1)
     return F.upper(F.when(part != "", part).otherwise(stem))
@@ -27,18 +28,17 @@ def parse_ts(text: Column, tz: str, naive_tz: str) -> Column:
 
 
 def _read(spark: SparkSession, path: str, tz: str, naive_tz: str) -> DataFrame:
-    raw = (spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-           .option("mode", "DROPMALFORMED").schema(BAR_SCHEMA).csv(path))
-    return (raw.select(symbol_of_path().alias("symbol"), "*").withColumn("ts", parse_ts(F.col("ts"), tz, naive_tz))
-            .filter("ts is not null").withColumn("volume", F.col("volume").cast("long"))
-            .withColumn("session_date", F.to_date("ts")))
+    raw = read_by_header(spark, path, {"ts": TS_ALIASES, **{c: [c] for c in (*PRICES, "volume")}}, ["ts", *PRICES])
+    typed = raw.select(symbol_of_path().alias("symbol"), parse_ts(F.col("ts"), tz, naive_tz).alias("ts"), *[F.col(c).try_cast("double").alias(c) for c in PRICES],
+                       F.col("volume").try_cast("double").cast("long").alias("volume"))
+    return typed.na.drop(subset=["ts", *PRICES]).withColumn("session_date", F.to_date("ts"))
 
 
 def read_bars(spark: SparkSession, path: str, tz: str = "Asia/Kolkata", skip: tuple[str, ...] = (), min_bars: int = 4,
               naive_tz: str | None = None) -> DataFrame:
-    """Directory of bar CSVs (ts, open, high, low, close, volume), one symbol per file or folder.
+    """Directory of bar CSVs, one symbol per file or folder; every file is read by the names of its own header.
 
-    Bars without volume and symbols with too few bars are left out. Names in ``skip`` match
+    A file without a time or a price column is skipped alone. Bars without volume and symbols with too few bars are left out. Names in ``skip`` match
     in any case. Naive times are on the session clock unless ``naive_tz`` says otherwise.
     """
     df = _read(spark, path, tz, naive_tz or tz).filter("volume > 0")
@@ -54,23 +54,15 @@ def read_bars_min_history(spark: SparkSession, path: str, slowest: int = 50, atr
 
 
 def read_bars_any(spark: SparkSession, path: str, tz: str = "UTC", min_rows: int = 40) -> DataFrame:
-    """Bars under loose headers: any letter case, several names for the time, volume optional.
+    """Bars under loose headers: any letter case and order, several names for the time, volume optional, file by file.
 
     Symbols with several rows on one calendar day are aggregated to days; the others stay as
     they are. The result has ``dow`` (Monday is 0).
     """
-    raw = (spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path))
-    cols = {k: resolve(raw, [k]) for k in ("open", "high", "low", "close", "volume")}
-    missing = [k for k in ("open", "high", "low", "close") if cols[k] is None]
-    if missing:
-        raise ValueError(f"missing columns {missing} in {path}")
-    ts = resolve(raw, TS_ALIASES)
-    if ts is None:
-        raise ValueError(f"no time column in {path}, looked for {TS_ALIASES}")
-    number = lambda k: F.expr(f"try_cast(`{cols[k]}` as double)")
-    volume = number("volume") if cols["volume"] else F.lit(0.0)
-    df = raw.select(symbol_of_path().alias("symbol"), parse_ts(F.col(ts), tz, "UTC").alias("ts"),
-                    *[number(k).alias(k) for k in ("open", "high", "low", "close")], volume.alias("volume"))
+    raw = read_by_header(spark, path, {"ts": TS_ALIASES, **{c: [c] for c in (*PRICES, "volume")}}, ["ts", *PRICES])
+    volume = F.when(F.col("has_volume"), F.col("volume").try_cast("double")).otherwise(F.lit(0.0))
+    df = raw.select(symbol_of_path().alias("symbol"), parse_ts(F.col("ts"), tz, "UTC").alias("ts"),
+                    *[F.col(k).try_cast("double").alias(k) for k in PRICES], volume.alias("volume"))
     df = df.na.drop().withColumn("session_date", F.to_date("ts"))
     per_day = df.groupBy("symbol", "session_date").agg(
         F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from barloom.operators.clean import resolve
+from barloom.sources.headers import read_by_header
 
 # fixed values: column names of the instrument master
 INSTRUMENT_COLUMNS = {"exchange": "SEM_EXM_EXCH_ID", "segment": "SEM_SEGMENT", "instrument": "SEM_INSTRUMENT_NAME",
@@ -26,20 +27,19 @@ def read_instruments(spark: SparkSession, path: str) -> DataFrame:
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
     """Price zones per (symbol, date). ``zone_no`` keeps the order of formation within a date."""
-    raw = spark.read.option("header", True).schema(
-        "symbol string, date date, ob_type string, ob_time string, ob_body_high double, ob_body_low double, "
-        "ob_high double, ob_low double").csv(path)
-    return raw.select(F.upper("symbol").alias("symbol"), F.col("date").alias("session_date"), "ob_type", "ob_time",
-                      "ob_body_high", "ob_body_low", "ob_high", "ob_low")
+    return _typed(spark, path, {"date": "date", "ob_type": "string", "ob_time": "string", "ob_body_high": "double", "ob_body_low": "double",
+                                "ob_high": "double", "ob_low": "double"})
+
+
+def _typed(spark: SparkSession, path: str, kinds: dict[str, str]) -> DataFrame:
+    """(symbol, session_date, ...) of files that are read by their own headers; a file that lacks a column is left out."""
+    raw = read_by_header(spark, path, {c: [c] for c in ("symbol", *kinds)}, ["symbol", *kinds])
+    return raw.select(F.upper("symbol").alias("symbol"), *[F.col(c).try_cast(t).alias("session_date" if c == "date" else c) for c, t in kinds.items()])
 
 
 def read_gaps(spark: SparkSession, path: str) -> DataFrame:
     """Gap days, unique on (symbol, date)."""
-    raw = spark.read.option("header", True).schema(
-        "symbol string, date date, prev_close double, today_open double, gap_pct double, gap_dir string, "
-        "daily_atr double").csv(path)
-    return raw.select(F.upper("symbol").alias("symbol"), F.col("date").alias("session_date"), "prev_close", "today_open",
-                      "gap_pct", "gap_dir", "daily_atr")
+    return _typed(spark, path, {"date": "date", "prev_close": "double", "today_open": "double", "gap_pct": "double", "gap_dir": "string", "daily_atr": "double"})
 
 
 def read_trades(spark: SparkSession, path: str) -> DataFrame:

@@ -103,26 +103,6 @@ class EntrySpec:
         return replace(self, **changes)
 
 
-@dataclass(frozen=True)
-class HoldSpec:
-    # fixed values: management of an open position, multiples of the initial risk unless said
-    force_exit: int = hhmm(15, 15)
-    breakeven_at: float = 0.7
-    breakeven_buffer: float = 0.05
-    partial_at: float = 1.0
-    partial_fraction: float = 0.5
-    trail_at: float = 1.0
-    trail_atr: float = 1.0
-    profit_minutes: float = 45.0
-    profit_floor: float = 0.3
-    stale_minutes: float = 120.0
-    peak_arm: float = 0.8
-    peak_giveback: float = 0.35
-
-    def with_(self, **changes) -> "HoldSpec":
-        return replace(self, **changes)
-
-
 @dataclass(frozen=True)
 class DayLimits:
     # fixed values: circuit breakers of one trading day, zero switches a rule off

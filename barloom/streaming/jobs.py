@@ -1,6 +1,6 @@
 """Streaming twins of the batch operators.
 
-State is keyed so that it stays small: by (symbol, session) for bars and positions, by
+State is keyed so that it stays small: by symbol for bars, by
 (account, day) for circuit breakers, by sender for rate limits. Checkpoints and outputs go
 below the shared scratch folder, so a restarted query goes on where it stopped.
 """
@@ -16,8 +16,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.layout import scratch_path
 from barloom.plans import signals as S
-from barloom.spec import CostSpec, DayLimits, EntrySpec, HoldSpec, SessionSpec
-from barloom.streaming.rules import Book, Breaker, hold_position, pass_breaker
+from barloom.spec import DayLimits, EntrySpec, SessionSpec
+from barloom.streaming.rules import Breaker, pass_breaker
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
@@ -90,53 +90,6 @@ def stream_signals(bars: DataFrame, zones: DataFrame, gaps: DataFrame, session:
 # ---- positions ------------------------------------------------------------------------------
 ORDER_COLUMNS = ("symbol string, session_date date, ts timestamp, kind string, side string, entry double, sl double, target double, "
                  "qty long, atr double, high double, low double, close double")
-FILL_COLUMNS = "symbol string, session_date date, ts timestamp, side string, outcome string, entry double, exit double, qty long, pnl double, r double"
-
-
-def _sorted(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(list(parts))
-    # an entry at the open of a bar precedes that bar
-    return rows.assign(_k=(rows["kind"] != "entry").astype(int)).sort_values(["ts", "_k"], kind="stable")
-
-
-def _fills(key: tuple, fills: list[tuple]) -> pd.DataFrame:
-    names = ["ts", "side", "outcome", "entry", "exit", "qty", "pnl", "r"]
-    df = pd.DataFrame(fills, columns=names)
-    df.insert(0, "symbol", key[0])
-    df.insert(1, "session_date", key[1])
-    return df.astype({"qty": "int64", "entry": float, "exit": float, "pnl": float, "r": float})
-
-
-def stream_positions(rows: DataFrame, hold: HoldSpec = HoldSpec(), cost: CostSpec = CostSpec(), delay: str = "1 day",
-                     decimals: int | None = 2) -> DataFrame:
-    """Fills of a stream of entries and bars. One position per symbol and session; state ends with the day."""
-    names = Book.names()
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        book = Book(*state.get) if state.exists else Book()
-        fills = hold_position(book, _sorted(parts), hold, cost, decimals)
-        state.update(tuple(getattr(book, n) for n in names))
-        midnight = int((pd.Timestamp(key[1]) + pd.Timedelta(days=2)).timestamp() * 1000)
-        if midnight > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(midnight)
-        if fills:
-            yield _fills(key, fills)
-
-    return (rows.withWatermark("ts", delay).groupBy("symbol", "session_date")
-            .applyInPandasWithState(step, FILL_COLUMNS, Book.schema(), "append", GroupStateTimeout.EventTimeTimeout))
-
-
-def batch_positions(rows: DataFrame, hold: HoldSpec = HoldSpec(), cost: CostSpec = CostSpec(), decimals: int | None = 2) -> DataFrame:
-    """The same fills from a table: one grouped pass per (symbol, session)."""
-    def walk(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        return _fills(key, hold_position(Book(), _sorted(iter([g])), hold, cost, decimals))
-
-    return rows.groupBy("symbol", "session_date").applyInPandas(walk, FILL_COLUMNS)
-
-
 # ---- circuit breakers -------------------------------------------------------------------------
 HALT_COLUMNS = "account string, day date, trade_id long, net double, streak long, trades long, halted boolean, reason string"
 

@@ -5,31 +5,15 @@ from pyspark.sql import functions as F
 from barloom.checks import streams as S
 from barloom.streaming import jobs as J
 
-FILL = ["symbol", "session_date", "ts", "side", "outcome", "qty", "entry", "exit"]
-
-
-def rows(df):
-    return sorted(map(tuple, df.select(*FILL).collect()), key=str)
-
-
-def test_positions_stream_equals_batch(spark, sf):
-    src = S.position_rows(spark, sf)
-    hours = [F.hour("ts") < 6, (F.hour("ts") >= 6) & (F.hour("ts") < 12), F.hour("ts") >= 12]
-    stream = J.run_to_files(J.stream_positions(S.file_stream(src, "t-pos", hours), S.HOLD, delay="40 days", decimals=None), "t-fills")
-    batch = J.batch_positions(src, S.HOLD, decimals=None)
-    got = rows(stream)
-    assert got == rows(batch) and len(got) > 50
-
 
 def test_restart_goes_on_from_the_checkpoint(spark, sf, tmp_path):
-    src = S.position_rows(spark, sf)
+    src = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.hour("ts").alias("hour"), "ts")
     path, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    parts = [F.hour("ts") < 9, F.hour("ts") >= 9]
-    for p in parts:
+    for p in (F.col("hour") < 14, F.col("hour") >= 10):  # both parts hold the hours from 10 to 13
         src.filter(p).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(src.schema).parquet(path)
-        done = J.run_to_files(J.stream_positions(stream, S.HOLD, delay="40 days", decimals=None), "r", out, state)
-    assert rows(done) == rows(J.batch_positions(src, S.HOLD, decimals=None))
+        done = J.run_to_files(J.stream_dedupe(stream, ["user_id", "hour"], delay="40 days"), "r", out, state)
+    assert sorted(map(tuple, done.select("user_id", "hour").collect())) == sorted(map(tuple, src.select("user_id", "hour").distinct().collect()))
 
 
 def test_trend_join_prefers_the_same_bar(spark, sf):
