@@ -194,6 +194,13 @@ def _(spark, d):
     return catalog.trades(spark, d).select("trade_id", F.round(T.limited_step(1 + F.col("r") / 3, 1 + F.col("pnl") / 100), 6).alias("weight"))
 
 
+@checks.add("w37_append_ledger", with_views("trades") + """
+SELECT trade_id, CASE WHEN trade_id % 2 = 1 THEN hour(exit_time) END::INT AS hour FROM trades""")
+def _(spark, d):
+    t = catalog.trades(spark, d)
+    return G.append_ledger(t.filter("trade_id % 2 = 0"), t.filter("trade_id % 2 = 1")).select("trade_id", "hour")
+
+
 @checks.add("w37_last_n", with_views("trades") + """
 SELECT 'strategy' AS scope, trade_id FROM trades QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY exit_time DESC, trade_id DESC) <= 40
 UNION ALL SELECT 'ledger', trade_id FROM (SELECT * FROM trades ORDER BY exit_time DESC, trade_id DESC LIMIT 1500)
@@ -201,7 +208,7 @@ UNION ALL SELECT 'symbol', trade_id FROM trades QUALIFY row_number() OVER (PARTI
 def _(spark, d):
     t = catalog.trades(spark, d)
     half = t.filter("trade_id % 2 = 0")
-    led = G.append_ledger(half, t.filter("trade_id % 2 = 1"))
+    led = G.append_ledger(half, t.filter("trade_id % 2 = 1"), keep=1500)
     parts = [("strategy", G.last_n(t, ["strategy"], ORDER, 40)), ("ledger", led), ("symbol", G.last_n(t, ["symbol"], ORDER, 1))]
     out = [p.select(F.lit(n).alias("scope"), "trade_id") for n, p in parts]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -406,7 +413,14 @@ def _(spark, d):
 SELECT day, suggestion_id FROM mk WHERE NOT acted QUALIFY row_number() OVER (PARTITION BY day ORDER BY suggestion_id) <= 15""")
 def _(spark, d):
     mk = A.mark_acted(suggestions(spark, d), catalog.trades(spark, d).filter("trade_id % 7 = 0"))
-    return A.open_suggestions(mk, ["suggestion_id"]).select("day", "suggestion_id")
+    return A.open_suggestions(mk, ["suggestion_id"], 15).select("day", "suggestion_id")
+
+
+@checks.add("d16_open_suggestions_all", with_views("trades", sg=SUGG, op=OPENED, mk=MARK) + """
+SELECT day, suggestion_id, row_number() OVER (PARTITION BY day ORDER BY suggestion_id)::INT AS n FROM mk WHERE NOT acted""")
+def _(spark, d):
+    mk = A.mark_acted(suggestions(spark, d), catalog.trades(spark, d).filter("trade_id % 7 = 0"))
+    return A.open_suggestions(mk, ["suggestion_id"]).select("day", "suggestion_id", "n")
 
 
 @checks.add("d16_floating_pnl", with_views("positions") + f"""

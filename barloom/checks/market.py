@@ -121,8 +121,7 @@ def _(spark, d):
             .agg(F.collect_list(row).alias("trades")).select(F.to_json(F.struct("trades")).alias("value")))
     path = scratch_path(spark, "ledger")
     docs.repartition(8).write.option("lineSep", "\n").text(path)
-    lines = spark.read.text(path).select(F.from_json("value", f"trades array<struct<{D.LEDGER_ROW}>>").alias("d"))
-    return (lines.select(F.posexplode("d.trades").alias("seq", "t")).select("t.*")
+    return (D.read_ledger(spark, path, per_line=True)
             .select("strategy", "side", *rds("pnl", "r"), "outcome", "hour", "date"))
 
 
@@ -246,6 +245,15 @@ WITH instr AS ({INSTR}), {UNDER}
 SELECT min(security_id) AS security_id, trading_symbol AS symbol FROM instr
 WHERE exchange = 'NSE' AND segment = 'E' AND instrument = 'EQUITY' AND upper(trading_symbol) IN (SELECT underlying FROM under)
 GROUP BY trading_symbol ORDER BY symbol LIMIT 180""")
+def _(spark, d):
+    return U.fno_universe(instruments(spark, d), limit=180)
+
+
+@checks.add("p7_fno_universe_all", f"""
+WITH instr AS ({INSTR}), {UNDER}
+SELECT min(security_id) AS security_id, trading_symbol AS symbol FROM instr
+WHERE exchange = 'NSE' AND segment = 'E' AND instrument = 'EQUITY' AND upper(trading_symbol) IN (SELECT underlying FROM under)
+GROUP BY trading_symbol""")
 def _(spark, d):
     return U.fno_universe(instruments(spark, d))
 
@@ -267,6 +275,12 @@ def listed(spark, d):
 WITH instr AS ({INSTR}), {UNDER}, listed AS ({LISTED}),
 ok AS (SELECT symbol FROM listed WHERE upper(symbol) IN (SELECT underlying FROM under))
 SELECT symbol FROM listed WHERE (SELECT count(*) FROM ok) < 40 OR symbol IN (SELECT symbol FROM ok)""")
+def _(spark, d):
+    return U.validated_list(listed(spark, d), U.derivative_names(instruments(spark, d)), at_least=40)
+
+
+@checks.add("p8_validated_list_strict", f"""
+WITH instr AS ({INSTR}), {UNDER}, listed AS ({LISTED}) SELECT symbol FROM listed WHERE upper(symbol) IN (SELECT underlying FROM under)""")
 def _(spark, d):
     return U.validated_list(listed(spark, d), U.derivative_names(instruments(spark, d)))
 

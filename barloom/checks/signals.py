@@ -166,11 +166,8 @@ SELECT symbol, ts, round((high - low) / close, 6) AS range_pct, round(abs(close
   round(high - greatest(open, close), 6) AS upper_wick, round(least(open, close) - low, 6) AS lower_wick, CAST(isodow(ts) - 1 AS INT) AS dow FROM ticks""")
 def _(spark, d):
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    return catalog.ticks(spark, d).select(
-        "symbol", "ts", F.round((h - l) / c, 6).alias("range_pct"),
-        F.round(F.abs(c - o) / F.when(h > l, h - l).otherwise(F.lit(1e-9)), 6).alias("body_frac"),
-        F.round(h - F.greatest(o, c), 6).alias("upper_wick"), F.round(F.least(o, c) - l, 6).alias("lower_wick"),
-        F.weekday("ts").alias("dow"))
+    shape = P.bar_shape(o, h, l, c, F.col("ts"))
+    return catalog.ticks(spark, d).withColumns(shape).select("symbol", "ts", *rds("range_pct", "body_frac", "upper_wick", "lower_wick"), "dow")
 
 
 # a simple directional signal on every bar drives the gate operators
@@ -510,7 +507,7 @@ def _(spark, d):
             .select(F.concat(F.lit('{"_meta":{"generated_at":"2024-01-30T00:00:00"},'), F.substring(F.to_json("m"), 2, 1 << 30)).alias("value")))
     path = scratch_path(spark, "views")
     docs.repartition(8).write.text(path)
-    return D.forecast_views(spark.read.text(path)).select("symbol", "dir", *rds("up_prob", "vol", "exp_ret"), "ts")
+    return D.read_forecast_views(spark, path, per_line=True).select("symbol", "dir", *rds("up_prob", "vol", "exp_ret"), "ts")
 
 
 @checks.add("j10_forecast_lookup", with_views("ticks", v=VIEWS_SQL) + f"""

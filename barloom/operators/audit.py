@@ -23,11 +23,12 @@ def day_report(trades: DataFrame) -> DataFrame:
         F.max(p).alias("best"), F.min(p).alias("worst"))
 
 
-def open_suggestions(suggestions: DataFrame, order: list[str], n: int = 15) -> DataFrame:
-    """The first n suggestions of each day that led to no trade (the length of the report's list)."""
+def open_suggestions(suggestions: DataFrame, order: list[str], n: int | None = None) -> DataFrame:
+    """Suggestions that led to no trade, numbered per day; with ``n`` the first of each day."""
     waiting = suggestions.filter("not acted")
     w = Window.partitionBy("day").orderBy(*order)
-    return waiting.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
+    numbered = waiting.withColumn("n", F.row_number().over(w))
+    return numbered if n is None else numbered.filter(F.col("n") <= n)
 
 
 def floating_pnl(positions: DataFrame, last_price: Column, cost) -> DataFrame:

@@ -31,10 +31,11 @@ def hour_of_text(time: Column) -> Column:
     return F.try_element_at(F.split(time, ":"), F.lit(1)).try_cast("int")
 
 
-def append_ledger(ledger: DataFrame, trades: DataFrame, keep: int = 1500) -> DataFrame:
-    """Ledger plus labelled trades, trimmed to the newest ``keep`` rows (the stored size of the ledger)."""
+def append_ledger(ledger: DataFrame, trades: DataFrame, keep: int | None = None) -> DataFrame:
+    """Ledger plus labelled trades; with ``keep`` only the newest rows."""
     new = trades.withColumns({"label": label_tag(F.col("tag")), "hour": F.hour("exit_time")})
-    return last_n(ledger.unionByName(new, allowMissingColumns=True), [], ["exit_time", "trade_id"], keep)
+    both = ledger.unionByName(new, allowMissingColumns=True)
+    return both if keep is None else last_n(both, [], ["exit_time", "trade_id"], keep)
 
 
 def _stats(p: Column, prefix: str = "") -> list[Column]:

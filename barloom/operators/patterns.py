@@ -13,6 +13,12 @@ HIT = "struct<direction:int,name:string,strength:int>"
 LAGS = {"_o1": ("open", 1), "_c1": ("close", 1), "_o0": ("open", 2), "_h0": ("high", 2), "_l0": ("low", 2), "_c0": ("close", 2)}
 
 
+def bar_shape(o: Column, h: Column, l: Column, c: Column, ts: Column) -> dict[str, Column]:
+    """Range over close, body over range, both wicks and the weekday (Monday is 0) of a bar."""
+    return {"range_pct": (h - l) / c, "body_frac": F.abs(c - o) / F.when(h > l, h - l).otherwise(F.lit(1e-9)),
+            "upper_wick": h - F.greatest(o, c), "lower_wick": F.least(o, c) - l, "dow": F.weekday(ts)}
+
+
 def hit(condition: str, direction: int, name: str, strength: int) -> str:
     """SQL of a hit struct, null unless the condition holds."""
     return f"CASE WHEN {condition} THEN named_struct('direction', {direction}, 'name', '{name}', 'strength', {strength}) END"

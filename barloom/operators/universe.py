@@ -22,22 +22,23 @@ def derivative_names(instruments: DataFrame) -> DataFrame:
         F.regexp_like(u, F.lit("^[A-Za-z0-9]+$")) | u.contains("&") | u.contains("-")).select(u.alias("symbol"))
 
 
-def fno_universe(instruments: DataFrame, limit: int = 180) -> DataFrame:
-    """Cash equities that are also derivative underlyings, first ``limit`` by name.
-
-    The limit is part of the rule (the live scan visits that many symbols).
-    """
+def fno_universe(instruments: DataFrame, limit: int | None = None) -> DataFrame:
+    """Cash equities that are also derivative underlyings; with ``limit`` the first of them by name."""
     cash = instruments.filter((F.upper("exchange") == "NSE") & (F.upper("segment") == "E")
                               & (F.upper("instrument") == "EQUITY"))
     listed = cash.join(derivative_underlyings(instruments),
                        F.upper("trading_symbol") == F.col("underlying"), "left_semi")
     one = earliest_per_key(listed.select("trading_symbol", "security_id"), ["trading_symbol"], ["security_id"])
-    return one.orderBy("trading_symbol").limit(limit).select("security_id", F.col("trading_symbol").alias("symbol"))
+    if limit is not None:
+        one = one.orderBy("trading_symbol").limit(limit)
+    return one.select("security_id", F.col("trading_symbol").alias("symbol"))
 
 
-def validated_list(listed: DataFrame, live: DataFrame, at_least: int = 40) -> DataFrame:
-    """Listed symbols that are still live, or the whole list when fewer than ``at_least`` are."""
+def validated_list(listed: DataFrame, live: DataFrame, at_least: int | None = None) -> DataFrame:
+    """Listed symbols that are still live; with ``at_least`` the whole list when fewer than that are."""
     names = live.select(F.upper("symbol").alias("_live")).distinct()
+    if at_least is None:
+        return listed.join(names, F.upper("symbol") == F.col("_live"), "left_semi")
     marked = listed.join(names, F.upper("symbol") == F.col("_live"), "left")
     kept = marked.agg(F.count("_live").alias("_kept"))
     few = one_row(kept)["_kept"] < at_least

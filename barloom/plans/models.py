@@ -50,13 +50,13 @@ def time_split(dataset: DataFrame, ratio: float = 0.85, time: str = "ts") -> tup
     return dataset.filter(t < cut), dataset.filter(t >= cut)
 
 
-def train_vol_model(dataset: DataFrame, min_rows: int = 200, max_iter: int = 20, max_depth: int = 5, seed: int = 7):
-    """(model or None, info). Too few rows leave the smoothed-volatility fallback."""
+def train_vol_model(dataset: DataFrame, min_rows: int = 2, max_iter: int = 20, max_depth: int = 5, seed: int = 7):
+    """(model or None, info). ``info["status"]`` is ``trained``, or ``too_few_rows`` below ``min_rows``; the caller chooses what to do then."""
     # every boosting round reads the rows again: write them once
     rows = pinned(complete_rows(dataset))
     n = rows.count()
     if n < min_rows:
-        return None, {"model": "ewma_fallback", "reason": f"only {n} rows", "rows": n}
+        return None, {"model": "ewma_fallback", "status": "too_few_rows", "reason": f"only {n} rows", "rows": n}
     train, valid = (VectorAssembler(inputCols=VOL_FEATURES, outputCol="features").transform(p) for p in time_split(rows))
     model = GBTRegressor(labelCol="y_next_vol", maxIter=max_iter, maxDepth=max_depth, stepSize=0.05 if max_iter > 100 else 0.1, seed=seed,
                          subsamplingRate=0.85).fit(train)
@@ -65,7 +65,7 @@ def train_vol_model(dataset: DataFrame, min_rows: int = 200, max_iter: int = 20,
                                      F.avg(F.abs(F.col("y_next_vol") - mean)).alias("base")).first()
     skill = 1 - err["mae"] / err["base"] if err["base"] else 0.0
     weights = sorted(zip(VOL_FEATURES, model.featureImportances.toArray()), key=lambda kv: -kv[1])
-    return model, {"model": "gbt", "rows": n, "val_mae": err["mae"], "skill_vs_mean": skill, "top_features": [k for k, _ in weights[:5]]}
+    return model, {"model": "gbt", "status": "trained", "rows": n, "val_mae": err["mae"], "skill_vs_mean": skill, "top_features": [k for k, _ in weights[:5]]}
 
 
 def vol_baseline(dataset: DataFrame, window: int = 20) -> DataFrame:

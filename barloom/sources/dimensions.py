@@ -73,8 +73,9 @@ def forecast_views(text: DataFrame, column: str = "value") -> DataFrame:
                     F.coalesce("v.ts", "generated_at").alias("ts")))
 
 
-def read_forecast_views(spark: SparkSession, path: str) -> DataFrame:
-    return forecast_views(spark.read.text(path, wholetext=True))
+def read_forecast_views(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Views of JSON documents, one per file, or with ``per_line`` one per line, which Spark can split."""
+    return forecast_views(spark.read.text(path, wholetext=not per_line))
 
 
 def vol_forecasts(text: DataFrame, column: str = "value") -> DataFrame:
@@ -87,13 +88,13 @@ def vol_forecasts(text: DataFrame, column: str = "value") -> DataFrame:
                     "model", "skill_vs_mean"))
 
 
-def forecast_lines(scales: DataFrame, generated_utc: str, model: str, skill: float, bounds=(0.65, 1.60)) -> DataFrame:
+def forecast_lines(scales: DataFrame, generated_utc: str, model: str, skill: float, bounds=(0.65, 1.60), shards: int = 64) -> DataFrame:
     """JSON lines of a volatility forecast: each line is a whole document with the symbols of one shard.
 
     ``vol_forecasts`` reads the lines of one forecast back as one table. Sharding by symbol hash
-    keeps a document small; a single document would have to be built in one task.
+    keeps a document small: choose ``shards`` so that symbols / shards entries make a document.
     """
-    shard = F.pmod(F.xxhash64("symbol"), F.lit(64))
+    shard = F.pmod(F.xxhash64("symbol"), F.lit(shards))
     entry = F.struct(F.upper("symbol").alias("key"), F.struct("pred_vol", "baseline", "scale", "regime").alias("value"))
     return (scales.groupBy(shard.alias("shard")).agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("symbols"))
             .select(F.to_json(F.struct(
@@ -107,7 +108,10 @@ LEDGER_ROW = ("date string, strategy string, side string, pnl double, r double,
               "hour int")
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of ``{"trades": [...]}`` documents; ``seq`` is the position in the array, oldest first."""
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"trades array<struct<{LEDGER_ROW}>>").alias("d"))
+def read_ledger(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """Rows of ``{"trades": [...]}`` documents; ``seq`` is the position in the array, oldest first.
+
+    A file holds one document, or with ``per_line`` one per line, which Spark can split.
+    """
+    docs = spark.read.text(path, wholetext=not per_line).select(F.from_json("value", f"trades array<struct<{LEDGER_ROW}>>").alias("d"))
     return docs.select(F.posexplode("d.trades").alias("seq", "t")).select("seq", "t.*")

@@ -163,8 +163,8 @@ def test_time_split_is_by_time(spark, sf):
 
 def test_few_rows_fall_back(spark, sf):
     data = M.vol_dataset(catalog.ticks(spark, sf).limit(100), min_rows=1)
-    model, info = M.train_vol_model(data)
-    assert model is None and info["model"] == "ewma_fallback"
+    model, info = M.train_vol_model(data, min_rows=200)
+    assert model is None and info["model"] == "ewma_fallback" and info["status"] == "too_few_rows"
 
 
 def test_labels_put_disagree_first(spark):
