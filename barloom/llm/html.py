@@ -36,6 +36,7 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "head"}
 CONTENT = {"article", "main"}
+LEFT_OPEN = {"nav", "header", "form", "menu", "button", "fieldset"}
 FURNITURE_WORDS = set("""ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr
 header masthead menu nav navbar navigation newsletter notice notices notification pager pagination popup modal promo promotion related respond share sharing sidebar social
 sponsor sponsored subscribe subscription toolbar widget alert copyright legal topbar login signup search form tags""".split())
@@ -136,10 +137,11 @@ def blocks(page: str | None) -> list[Block]:
             if stack and stack[-1][0] == tag:
                 _, kind, main = stack.pop()
                 furniture, content, marked = furniture - (kind < 0), content - (kind > 0), marked - main
-        elif tag in CONTENT:  # an article ends what furniture was left open before it
-            while stack and stack[-1][1] < 0 and stack[-1][0] in FURNITURE:
-                _, kind, main = stack.pop()
+        elif tag in CONTENT:  # an article ends a menu, header or form that was left open before it
+            depth = next((i for i, (name, _, _) in enumerate(stack) if name in LEFT_OPEN), len(stack))
+            for _, kind, main in stack[depth:]:
                 furniture, content, marked = furniture - (kind < 0), content - (kind > 0), marked - main
+            del stack[depth:]
         kind, main = _place(tag, m[3])
         stack.append((tag, kind, main))
         furniture, content, marked = furniture + (kind < 0), content + (kind > 0), marked + main
