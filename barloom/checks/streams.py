@@ -50,8 +50,9 @@ def _(spark, d):
 @checks.add("st3_stream_signals", with_views("bars", recursive=True, **SIGNALS) + f"""
 SELECT symbol, session_date, ts, pattern, strategy, direction, side, strength, score, ta, {sql_rd(*SIG_NUM)}, sm AS sl_method FROM (SELECT *, sl_method AS sm FROM signals)""")
 def _(spark, d):
-    # the morning of all sessions first, then the rest: signals need the bars of the earlier batch
-    bars = file_stream(catalog.bars(spark, d), "bars-in", [F.hour("ts") < 11, F.hour("ts") >= 11])
+    # the morning of all sessions first, then the rest in three batches: signals need the bars of the earlier ones
+    late = F.hour("ts") >= 11
+    bars = file_stream(catalog.bars(spark, d), "bars-in", [~late, *[late & (F.dayofmonth("session_date") % 3 == k) for k in range(3)]])
     out = J.stream_signals(bars, X.zones(spark, d), X.gaps(spark, d), X.CLOCK, X.ENTRY, scratch_path(spark, "bar-store"), scratch_path(spark, "signals"),
                            None, S.stock_strategies(X.LEVELS))
     return out.select("symbol", "session_date", "ts", "pattern", "strategy", "direction", "side", "strength", "score", "ta", *rds(*SIG_NUM), "sl_method")

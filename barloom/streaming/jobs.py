@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.layout import scratch_path
+from barloom.operators.layout import pinned, scratch_path
 from barloom.plans import signals as S
 from barloom.spec import DayLimits, EntrySpec, SessionSpec
 from barloom.streaming.rules import Breaker, pass_breaker
@@ -65,18 +65,23 @@ def stream_signals(bars: DataFrame, zones: DataFrame, gaps: DataFrame, session:
                    decimals: int | None = 2, strategies: dict | None = None, checkpoint: str | None = None) -> DataFrame:
     """Signals of each micro-batch of closed bars, equal to the batch plan's.
 
-    A batch adds its bars to a table partitioned by session, recomputes the sessions it touches
-    (session partitions prune the read) and keeps the signals of its own bars. Sessions are bounded,
-    so the work follows the batch and not the history. Both writes are keyed by batch id, which
-    makes a replay harmless.
+    A batch adds its bars to a table partitioned by session and batch, recomputes the sessions it touches
+    and keeps the signals of its own bars. The dates of the batch are a literal partition filter, so the
+    read follows the batch and not the history. Both writes are keyed by batch id, which
+    makes a replay harmless. Zones and gaps are written once, before the stream.
     """
     spark = bars.sparkSession
     schema = bars.schema
+    zones, gaps = pinned(zones), pinned(gaps)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("session_date").parquet(f"{store}/batch_id={batch_id}")
-        mine = spark.read.parquet(f"{store}/batch_id={batch_id}").select(*schema.fieldNames())
-        history = spark.read.parquet(store).filter(F.col("batch_id") <= batch_id).select(*schema.fieldNames())
+        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("session_date", "batch_id").parquet(store))
+        # as many dates as the batch itself has
+        dates = [r["session_date"] for r in batch.select("session_date").distinct().collect()]
+        days = spark.read.parquet(store).filter(F.col("session_date").isin(dates) & (F.col("batch_id") <= batch_id))
+        mine = days.filter(F.col("batch_id") == batch_id).select(*schema.fieldNames())
+        history = days.select(*schema.fieldNames())
         touched = mine.select("symbol", "session_date").distinct()
         history = history.join(touched, ["symbol", "session_date"], "left_semi")
         found = S.candidate_signals(history, zones, gaps, session, spec, decimals, strategies)
@@ -87,9 +92,6 @@ def stream_signals(bars: DataFrame, zones: DataFrame, gaps: DataFrame, session:
     return spark.read.parquet(out).drop("batch_id")
 
 
-# ---- positions ------------------------------------------------------------------------------
-ORDER_COLUMNS = ("symbol string, session_date date, ts timestamp, kind string, side string, entry double, sl double, target double, "
-                 "qty long, atr double, high double, low double, close double")
 # ---- circuit breakers -------------------------------------------------------------------------
 HALT_COLUMNS = "account string, day date, trade_id long, net double, streak long, trades long, halted boolean, reason string"
 
