@@ -59,10 +59,10 @@ def host_parts(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"host": host, "path": path}).withColumns({"suffix": suffix, "domain": domain})
 
 
-def level(counts: DataFrame, key: str, parent: str | None) -> DataFrame:
-    """(key, parent key, m, k): posterior mean and weight of a level from its counts and its parent's means.
+def level(counts: DataFrame) -> DataFrame:
+    """Adds m and k: posterior mean and weight of a level from its counts and its parent's means.
 
-    ``counts`` has key, parent, x, n and ``pm``, the parent's posterior mean. The concentration c solves
+    ``counts`` has x, n and ``pm``, the parent's posterior mean. The concentration c solves
     E[(x/n - pm)^2] = pm (1 - pm) (1/n + (1 - 1/n) / (c + 1)), summed over the level with weights n.
     """
     spread = F.col("pm") * (1 - F.col("pm"))
@@ -84,7 +84,7 @@ def posteriors(outcomes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
         keys = [name] if parent is None else [name, parent]
         counts = base.groupBy(*keys).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         counts = counts.withColumn("pm", top.select("m").scalar()) if parents is None else counts.join(parents, parent)
-        fitted = level(counts, name, parent)
+        fitted = level(counts)
         parents = fitted.select(name, F.col("m").alias("pm"))
         out[name] = fitted.select(name, F.col("m").alias(f"m_{name}"), F.col("k").alias(f"k_{name}"))
     return top, out

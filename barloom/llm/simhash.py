@@ -301,7 +301,8 @@ def links(fps: DataFrame, max_bits: int = 3, parts: int = 4, bucket_rows: int =
     joint, n = joint_counts(fps)
     groups = bit_groups(joint, n, parts)
     levels = thresholds(candidate_pairs(fps, groups), [len(g) for g in groups], n, max_bits)
-    rows, found = stored(probes(fps, groups, levels), "probes"), None
+    # the first buckets are cheaper to make twice, for counting and for comparing, than to store
+    rows, found = probes(fps, groups, levels), None
     cut = max_bits + 1
     # with fewer than ``cut`` free bits a bucket cannot be cut further, and holds at most this many rows
     bucket_rows = max(bucket_rows, 1 << cut)
