@@ -352,8 +352,8 @@ def _(spark, d):
 def _(spark, d):
     t = catalog.ticks(spark, d)
     f = feature_frame(t, ["symbol"])
-    labels = M.barrier_labels(t, sl=[1.0, 2.0], tgt=[1.5, 3.0])
-    model = M.train_win_model(f, labels, max_iter=3, max_depth=3)
+    # trained on the pairs it scores
+    model = M.train_win_model(f, M.barrier_labels(t), max_iter=3, max_depth=3)
     return M.rr_score(f, model, ["symbol", "ts"]).select("symbol", "ts", "status", F.array_join("reasons", "|").alias("reasons"), "sl_mult", "tgt_mult", *rds("score", "p"))
 
 

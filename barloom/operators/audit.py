@@ -120,7 +120,7 @@ def mark_acted(suggestions: DataFrame, opened: DataFrame) -> DataFrame:
 
 
 def schema_hash(names: list[str], version: str = "v1") -> str:
-    """Short fingerprint of an ordered feature list."""
+    """Short fingerprint of an ordered feature list; the format is fixed, stored fingerprints must compare."""
     import hashlib
     import json
 

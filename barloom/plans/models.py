@@ -201,6 +201,7 @@ def promotion_gate(manifests: DataFrame, schema_hash: str | Column) -> DataFrame
     missing = F.array_compact(F.array(*[F.when(empty(c), F.lit(c)) for c in MANIFEST_FIELDS]))
     live = schema_hash if isinstance(schema_hash, Column) else F.lit(schema_hash)
     v = lambda n: F.col(f"_m.{n}")
+    # fixed values: reason texts
     reasons = F.array_compact(F.array(
         F.when(F.size(missing) > 0, F.concat(F.lit("manifest incomplete: "), F.array_join(missing, ","))),
         F.when(~F.col("feature_schema_hash").eqNullSafe(live), "feature schema mismatch"),

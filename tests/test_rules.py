@@ -29,20 +29,11 @@ def value(spark, column):
 
 
 # ---- recursions -----------------------------------------------------------------------------
-def wilder(x, p):
-    out = [None] * len(x)
-    if len(x) >= p:
-        out[p - 1] = sum(x[:p]) / p
-        for i in range(p, len(x)):
-            out[i] = (out[i - 1] * (p - 1) + x[i]) / p
-    return out
-
-
 def test_wilder_seed_and_steps():
-    x = np.array([1.0, 2, 3, 4, 10])
-    got = REC.seeded(x, 0, 3, True)
+    got = REC.seeded(np.array([1.0, 2, 3, 4, 10]), 0, 3, True)
     assert np.isnan(got[:2]).all()
-    np.testing.assert_allclose(got[2:], wilder(list(x), 3)[2:])
+    # the mean of the first three, which then keeps two thirds of its weight per step
+    np.testing.assert_allclose(got[2:], [2, 2 * 2 / 3 + 4 / 3, 2 * 4 / 9 + 4 * 2 / 9 + 10 / 3])
 
 
 @pytest.mark.parametrize("n", [13, 14, 15, 27, 28, 29])
