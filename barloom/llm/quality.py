@@ -45,7 +45,8 @@ RULES = (
     Rule("pipe_ratio", high=0.10),
     Rule("shout_ratio", high=0.30),
     Rule("stop_ratio", low=0.02, from_words=50),
-    Rule("dup_line_ratio", high=0.30),
+    Rule("echo_ratio", high=0.20),
+    Rule("dup_line_ratio", high=0.50),
     Rule("dup_line_chars_per_word", high=0.25),
 )
 
@@ -77,6 +78,7 @@ def counts(docs: DataFrame) -> DataFrame:
         "n_words": n.cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_stops": F.size(F.filter(words, lambda w: w.isin(STOP_FORMS))),
+        "_echoes": F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))),
         "_hashes": F.when(n >= WINDOW, hashes),
     })
     # only texts that repeat a window pay for the sort
@@ -97,6 +99,7 @@ def _ratios() -> dict[str, Column]:
         "pipe_ratio": F.col("_pipes") / per_word,
         "shout_ratio": F.col("_shouts") / per_word,
         "stop_ratio": F.col("_stops") / per_word,
+        "echo_ratio": F.col("_echoes") / per_word,
         "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size("_lines"), F.lit(1)),
         "dup_line_chars_per_word": F.col("n_dup_lines") / per_word,
     }
@@ -121,7 +124,7 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
     df = counts(docs).withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & verdict(rules))
-    return df.drop("_words", "_lines", "_pipes", "_shouts", "_stops", "_hashes", "_sorted", "_at")
+    return df.drop("_words", "_lines", "_pipes", "_shouts", "_stops", "_echoes", "_hashes", "_sorted", "_at")
 
 
 def oracle() -> str:
@@ -144,10 +147,11 @@ def oracle() -> str:
       length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
       coalesce(rep.n, 0)::BIGINT AS n_repeat_words, greatest(len(words), 1) AS per_word, len(lines) AS n_lines,
       length(text) - length(replace(text, '|', '')) AS pipes, length(text) - length(replace(text, '!!', '!')) AS shouts,
-      len(list_filter(words, lambda x: x IN ({stops}))) AS stops FROM w LEFT JOIN rep USING (rid)),
+      len(list_filter(words, lambda x: x IN ({stops}))) AS stops,
+      len(list_filter(words, lambda x, i: x = words[i - 1])) AS echoes FROM w LEFT JOIN rep USING (rid)),
     t AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
       word_chars / per_word AS mean_word_chars, n_symbols / per_word AS symbol_ratio, pipes / per_word AS pipe_ratio, shouts / per_word AS shout_ratio,
-      stops / per_word AS stop_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_dup_lines / per_word AS dup_line_chars_per_word FROM c)
+      stops / per_word AS stop_ratio, echoes / per_word AS echo_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio, n_dup_lines / per_word AS dup_line_chars_per_word FROM c)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(where)} AS kept FROM t"""
 
 
