@@ -59,7 +59,8 @@ def _place(tag: str, attrs: str) -> tuple[int, bool]:
     kind, marked = (-1 if tag in FURNITURE else 1 if tag in CONTENT else 0), False
     if attrs and tag not in ("body", "html"):
         for name, value in MARKS.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
+            name, raw = name.lower(), value.strip("\"'")
+            value = raw.lower()
             if name == "data-main":
                 marked = True
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in FURNITURE_ROLES):
@@ -67,7 +68,7 @@ def _place(tag: str, attrs: str) -> tuple[int, bool]:
             elif name == "role" and value in ("main", "article"):
                 kind = kind or 1
             elif name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", value))
+                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", raw).lower()))
                 if words & FURNITURE_WORDS and kind < 1:
                     kind = -1
                 elif words & CONTENT_WORDS and not kind:

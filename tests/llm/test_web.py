@@ -37,6 +37,7 @@ def test_the_tree_knows_its_samples(tree):
     ("<main><p>Text.</p><section id='comments'><p>A reader said a long thing here, which is not the article at all.</p></section></main>", "Text."),
     ("<body><div class='cookie-notice'>Cookies are used on this page for many good reasons</div><article><p>A</p></article><div class=advert>Buy these things today</div></body>", "A"),
     ("<nav><ul><li>unclosed menu<article><p>Text of it.</p></article>", "Text of it."),
+    ("<div id=siteHeader><p>Name of the site and its motto in some words</p></div><div class=postBody><p>Yes.</p></div><div class=rightSidebar><p>Other things that might be read today</p></div>", "Yes."),
     ("<article><p>1 &lt; 2 &#x263A; &eacute; &amp;amp;</p></article>", "1 < 2 \u263a \u00e9 &amp;"),
 ])
 def test_main_text(tree, page, want):
