@@ -244,7 +244,7 @@ def deeper(hot: DataFrame, groups: list[list[int]], cut: int) -> DataFrame:
 
 
 def forest(rows: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b): a spanning forest of the links inside each bucket; b is the smallest fingerprint of its tree.
+    """(a, b): a spanning forest of the links inside each bucket; a task gives no edge between what its earlier edges connect.
 
     Rows come sorted by bucket; a batch ends with a whole bucket, the open one waits for the next batch.
     """
@@ -273,7 +273,25 @@ def forest(rows: DataFrame, max_bits: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, names, last, seen = np.zeros(0, np.int64), np.zeros(0, np.uint64), [], None, 0
+        parent: dict[int, int] = {}  # trees of the edges that this task has given
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        for b in whole_buckets(batches):
+            keep = []
+            for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    keep.append(i)
+            if keep:
+                yield b.take(pa.array(keep))
+
+    def whole_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, last, seen = np.zeros(0, np.int64), np.zeros(0, np.uint64), None, 0
         for b in batches:
             if not b.num_rows:
                 continue
