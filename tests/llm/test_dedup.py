@@ -220,3 +220,27 @@ def test_period_meets_all_windows():
                 assert abs(sum(x <= t for x in own) - k[s] / 256 * (t + 1)) < 1
     with pytest.raises(ValueError):
         mixing.quantised(dict.fromkeys("abc", 1.0), 2)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.29, "c": 0.01}, {"a": 0.999, "b": 0.0005, "c": 0.0005}, {"hot": 30.0, **{f"s{i}": 1.0 for i in range(40)}}, {"a": 2 ** 0.5, "b": 3 ** 0.5, "c": 7 ** 0.5}])
+def test_schedule_keeps_the_given_weights(weights):
+    """Less than one block from the exact share after every slot, over many times 1,024 slots."""
+    from fractions import Fraction
+    total = sum(map(Fraction, weights.values()))
+    share = {s: Fraction(w) / total for s, w in weights.items()}
+    plan = mixing.schedule({s: int(20_000 * w) + 10 for s, w in share.items()}, weights)
+    order = sorted((int(t), s) for s, own in plan.items() for t in own[0])
+    assert [t for t, _ in order] == list(range(len(order)))
+    done, ended = dict.fromkeys(weights, 0), False
+    for t, s in order:
+        done[s] += 1
+        assert ended or all(abs(done[x] - w * (t + 1)) < 1 for x, w in share.items())
+        ended = ended or done[s] == plan[s].shape[1]
+    assert all((own[1] <= own[0]).all() and (own[0] < own[2]).all() for own in plan.values())
+
+
+def test_mixture_joins_its_schedule_without_broadcast(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "if(id % 10 = 0, 'b', 'a') AS source")
+    want = {tuple(r) for r in mixing.mix(docs, block_docs=2).collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 0)
+    assert {tuple(r) for r in mixing.mix(docs, block_docs=2).collect()} == want and len({r[-1] for r in want}) == 5000
