@@ -4,10 +4,12 @@ Texts and items are sequences of words of the lower-cased text: runs of letters,
 writes the word under its pointer, and a random bit of (step, word) tells whether the pointer moves on. Sequences at a small edit
 distance give walks that meet again after each edit, so edit distance turns into Hamming distance.
 
-Every word of every text starts a window for each size class of items (sizes within a factor of two). The walk of a window takes as many steps as
-the smallest item of its class has words, so it never leaves an item. Bit sampling hashes ``SAMPLES`` random steps of the walk; windows
-that share a hash with an item in any of the repetitions (independent walks, each sampled ``SAMPLINGS`` times) are candidates. ``plan`` measures
-on the items themselves, with random edits at the allowed rate, how often they hit, and takes the number of walks that reaches ``RECALL``.
+Every word of every text starts a window for each size class of items (sizes within a factor of two, up to ``ANCHOR_STEPS``). The walk of a window takes as many
+steps as its class says, so it never leaves an item. An item is entered at anchors: its pieces of that many words, one after the other, and its last words; so a long
+item has many chances, and edits in one piece leave the others alone. Bit sampling hashes ``SAMPLES`` random steps of the walk; windows
+that share a hash with an anchor in any of the repetitions (independent walks, each sampled ``SAMPLINGS`` times) are candidates for the place where the item would start. ``plan`` measures
+on the items themselves, with random edits at the allowed rate, how often they hit, for each factor of two of their lengths on its own, and takes as many walks for a
+class as bring each of its lengths to ``RECALL``.
 
 Each candidate is verified exactly: the least number of word edits between the item and any stretch of the text near the window
 must be at most ``EDIT_RATE`` of the item's words. Items are the query set; they are taken in blocks of ``BLOCK_ITEMS``, so what is broadcast
@@ -38,10 +40,11 @@ EDIT_RATE = 0.1
 RECALL = 0.9
 SAMPLES = 4
 SAMPLINGS = 4
-MAX_WALKS = 8
+ANCHOR_STEPS = 32
 BLOCK_ITEMS = 20_000
 WINDOWS = 1 << 13
-LOW_BITS = np.uint64(46)  # 18 bits of a hash index its bitmap
+WALKS_TRIED = 256  # no plan needs so many: more is an error, not a lower recall
+BITMAP_BITS = 18  # so many bits of a hash index its bitmap, more if there are many anchors
 MATCH = "array<struct<item_id:bigint,start:int,end:int,edits:int>>"
 
 
@@ -85,6 +88,17 @@ def size_class(words: int) -> int:
     return 1 << (words.bit_length() - 1)
 
 
+def steps_of(words: int) -> int:
+    """The steps of the walks for an item."""
+    return min(size_class(words), ANCHOR_STEPS)
+
+
+def anchors(words: int) -> list[int]:
+    """Where walks start in an item: piece after piece, and so that the last one ends with the item."""
+    steps = steps_of(words)
+    return sorted({*range(0, words - steps + 1, steps), words - steps})
+
+
 @lru_cache(maxsize=None)
 def sampled_steps(steps: int, repetition: int, samples: int) -> list[int]:
     rng = np.random.default_rng([steps, repetition])
@@ -117,76 +131,97 @@ def hashes(symbols: np.ndarray, starts: np.ndarray, sizes: list[int], walk: int,
 
 @dataclass
 class Index:
-    """Items of a block with, per repetition and size class, their sorted hashes and a bitmap over low hash bits."""
+    """Items of a block with, per walk, sampling and size class, the sorted hashes of their anchors, whose and where these are, and a bitmap over high hash bits."""
 
     ids: list[int]
     words: list[np.ndarray]
     kinds: list[set[int]]
     sizes: list[int]
-    walks: int
+    walks: dict[int, int]
     samples: int
     edit_rate: float
-    tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.uint64]]
 
-    def candidates(self, symbols: np.ndarray, count: int) -> Iterator[tuple[int, int]]:
-        """(window, item) pairs; each pair once per block of windows."""
+    def candidates(self, symbols: np.ndarray, ends: np.ndarray, first_walk: int = 0) -> Iterator[tuple[int, int, int]]:
+        """(start, item, text): where an item would start, maybe before its text; each once per block of windows."""
+        count = int(ends[-1])
         for low in range(0, count, WINDOWS):
             n = min(WINDOWS, count - low)
             near = symbols[low:low + n + self.sizes[-1]]
-            found: set[tuple[int, int]] = set()
-            for walk in range(self.walks):
-                for (k, size), h in hashes(near, np.arange(n), self.sizes, walk, self.samples).items():
-                    keys, items, bitmap = self.tables[walk, k, size]
-                    hit = np.flatnonzero(bitmap[(h >> LOW_BITS).view(np.int64)])
+            found: set[tuple[int, int, int]] = set()
+            for walk in range(first_walk, max(self.walks.values())):
+                for (k, size), h in hashes(near, np.arange(n), [s for s in self.sizes if self.walks[s] > walk], walk, self.samples).items():
+                    keys, items, offsets, bitmap, shift = self.tables[walk, k, size]
+                    hit = np.flatnonzero(bitmap[(h >> shift).view(np.int64)])
                     if len(hit):
                         left, right = np.searchsorted(keys, h[hit], "left"), np.searchsorted(keys, h[hit], "right")
-                        for w, a, b in zip(hit[right > left], left[right > left], right[right > left], strict=True):
-                            found.update((low + int(w), int(i)) for i in items[a:b])
+                        some = right > left
+                        for w, a, b, doc in zip(hit[some].tolist(), left[some], right[some], np.searchsorted(ends, low + hit[some], "right").tolist(), strict=True):
+                            found.update((low + w - o, i, doc) for o, i in zip(offsets[a:b].tolist(), items[a:b].tolist(), strict=True))
             yield from found
 
 
-def _first_words(words: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The heads of the items one after the other, each with one word of padding, and where they start."""
-    rows = np.array([np.concatenate([w[:size], w[:1]]) for w in words], np.uint64)
-    return rows.ravel(), np.arange(len(words)) * (size + 1)
+def _pieces(words: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The anchored pieces of the items one after the other, each with one word of padding, where they start, whose they are and their place in the item."""
+    places = [anchors(len(w)) for w in words]
+    rows = np.array([np.concatenate([w[at:at + size], w[:1]]) for w, own in zip(words, places, strict=True) for at in own], np.uint64)
+    return rows.ravel(), np.arange(len(rows)) * (size + 1), np.repeat(np.arange(len(words)), [len(own) for own in places]), np.concatenate(places).astype(np.int64)
 
 
-def index(ids: list[int], words: list[np.ndarray], walks: int, samples: int = SAMPLES, edit_rate: float = EDIT_RATE) -> Index:
-    sizes = sorted({size_class(len(w)) for w in words})
+def index(ids: list[int], words: list[np.ndarray], walks: dict[int, int], samples: int = SAMPLES, edit_rate: float = EDIT_RATE, first_walk: int = 0) -> Index:
+    """``walks`` holds the number of walks for each class of steps."""
+    sizes = sorted({steps_of(len(w)) for w in words})
     tables = {}
     for size in sizes:
-        own = np.array([i for i, w in enumerate(words) if size_class(len(w)) == size])
-        symbols, starts = _first_words([words[i] for i in own], size)
-        for walk in range(walks):
+        own = np.array([i for i, w in enumerate(words) if steps_of(len(w)) == size])
+        symbols, starts, item, offset = _pieces([words[i] for i in own], size)
+        shift = np.uint64(64 - max(BITMAP_BITS, len(starts).bit_length() + 3))
+        for walk in range(first_walk, walks[size]):
             for (k, _), h in hashes(symbols, starts, [size], walk, samples).items():
                 order = np.argsort(h, kind="stable")
-                bitmap = np.zeros(1 << 18, bool)
-                bitmap[(h >> LOW_BITS).view(np.int64)] = True
-                tables[walk, k, size] = (h[order], own[order], bitmap)
+                bitmap = np.zeros(1 << (64 - int(shift)), bool)
+                bitmap[(h >> shift).view(np.int64)] = True
+                tables[walk, k, size] = (h[order], own[item[order]], offset[order], bitmap, shift)
     return Index(ids, words, [set(w.tolist()) for w in words], sizes, walks, samples, edit_rate, tables)
 
 
-def plan(words: list[np.ndarray], edit_rate: float = EDIT_RATE, recall: float = RECALL, samples: int = SAMPLES, trials: int = 400) -> int:
-    """Walks that find an item with floor(edit_rate * words) random edits with probability ``recall``, measured on the items."""
+def edited(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    """The item with so many words replaced, added or removed."""
+    copy = item.tolist()
+    for _ in range(edits):
+        at, kind = int(rng.integers(len(copy))), int(rng.integers(3))
+        copy[at:at + (kind != 1)] = [int(rng.integers(1 << 62))] if kind != 2 else []
+    return np.array(copy, np.uint64)
+
+
+def plan(words: list[np.ndarray], edit_rate: float = EDIT_RATE, recall: float = RECALL, samples: int = SAMPLES, trials: int = 200, trial_words: int = 200_000) -> dict[int, int]:
+    """For each class of steps the walks that find an item with floor(edit_rate * words) random edits with probability ``recall``, measured on the items.
+
+    Every factor of two of the lengths is measured on its own; a class takes the walks of its hardest one. Very long items have fewer trials, 40 at least.
+    """
     rng = np.random.default_rng(11)
-    by: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for t in range(trials if words else 0):
-        item = words[t * len(words) // trials if len(words) > trials else t % len(words)]
-        size, copy = size_class(len(item)), item.tolist()
-        for _ in range(int(edit_rate * len(item))):
-            at, kind = int(rng.integers(len(copy))), int(rng.integers(3))
-            copy[at:at + (kind != 1)] = [int(rng.integers(1 << 62))] if kind != 2 else []
-        by.setdefault(size, []).append((item, np.concatenate([np.array(copy, np.uint64), rng.integers(1 << 62, size=size).astype(np.uint64)])))
-    hits = [[] for _ in range(MAX_WALKS)]
-    for size, pairs in by.items():
-        (a, starts), (b, _) = _first_words([x for x, _ in pairs], size), _first_words([y for _, y in pairs], size)
-        for walk in range(MAX_WALKS):
-            left, right = hashes(a, starts, [size], walk, samples), hashes(b, starts, [size], walk, samples)
-            hits[walk].append(np.any([left[key] == right[key] for key in left], axis=0))
-    if not by:
-        return 1
-    reached = np.flatnonzero(np.maximum.accumulate([np.concatenate(h) for h in hits]).mean(axis=1) >= recall)
-    return int(reached[0]) + 1 if len(reached) else MAX_WALKS
+    by: dict[int, list[np.ndarray]] = {}
+    for w in words:
+        by.setdefault(size_class(len(w)), []).append(w)
+    out: dict[int, int] = {}
+    for length, own in by.items():
+        size, n = steps_of(length), max(40, min(trials, trial_words // length))
+        used = [own[i] for i in sorted({t * len(own) // n for t in range(n)})]
+        owner = [t % len(used) for t in range(n)]
+        most = np.array([int(edit_rate * len(used[i])) for i in owner])
+        # a gap of random words after each copy: no walk runs from one into the next
+        copies = [np.concatenate([edited(used[i], m, rng), rng.integers(1 << 62, size=size).astype(np.uint64)]) for i, m in zip(owner, most.tolist(), strict=True)]
+        begins = np.cumsum([0, *map(len, copies)])
+        symbols, hit, walk = np.concatenate([*copies, np.zeros(size + 1, np.uint64)]), np.zeros(n, bool), 0
+        while hit.mean() < recall:
+            if walk == WALKS_TRIED:
+                raise ValueError(f"items of {length} words with {edit_rate} edits a word are not found in {walk} walks")
+            step = index([], used, {size: walk + 1}, samples, edit_rate, walk)
+            for start, item, t in step.candidates(symbols, begins[1:], walk):
+                hit[t] |= owner[t] == item and abs(int(begins[t]) - start) <= most[t]
+            walk += 1
+        out[size] = max(out.get(size, 1), walk)
+    return out
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
@@ -221,14 +256,13 @@ def matches(texts: list[str | None], idx: Index) -> list[list[dict]]:
     symbols = np.concatenate([codes, np.zeros(idx.sizes[-1] + 1, np.uint64)])
     starts = np.cumsum([0, *[len(r) + 1 for r in raw]])
     taken: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-    for window, item in sorted(idx.candidates(symbols, len(codes))):
-        doc = int(np.searchsorted(ends, window, "right"))
+    for window, item, doc in sorted(idx.candidates(symbols, ends)):
         own, known = idx.words[item], taken.setdefault((doc, item), [])
         if known and window < known[-1][2] - len(own) // 2:  # this place is found
             continue
         most = int(idx.edit_rate * len(own))
         low, high = (int(ends[doc - 1]) if doc else 0), int(ends[doc])
-        if window + len(own) <= high and (symbols[window:window + len(own)] == own).all():
+        if window >= low and window + len(own) <= high and (symbols[window:window + len(own)] == own).all():
             known.append((0, window, window + len(own)))
         else:
             a, b = max(low, window - most), min(high, window + len(own) + most)

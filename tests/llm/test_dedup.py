@@ -163,6 +163,31 @@ def test_decontamination_recall(spark):
     assert len(hit) >= 0.85 * 300 and not [r for r in rows if r.doc_id >= 1000]
 
 
+@pytest.mark.parametrize("low, high", [(10, 15), (16, 31), (32, 63), (64, 127), (128, 255), (256, 511), (512, 1023), (1024, 1500)])
+def test_decontamination_recall_per_length(low, high):
+    """The hardest allowed copies, floor(words / 10) random edits, in a table of mostly short items: each length reaches the target on its own."""
+    rng = np.random.default_rng(low)
+    short = [rng.integers(1 << 40, size=int(rng.integers(10, 16))).astype(np.uint64) for _ in range(300)]
+    own = [rng.integers(1 << 40, size=int(rng.integers(low, high + 1))).astype(np.uint64) for _ in range(20)]
+    idx = decontaminate.index(list(range(320)), own + short, decontaminate.plan(own + short))
+    copies = [(i % 20, decontaminate.edited(own[i % 20], len(own[i % 20]) // 10, rng)) for i in range(120)]
+
+    def text(words):
+        return " ".join(names.setdefault(int(x), f"w{len(names)}") for x in words)
+
+    names = {}  # words of letters instead of numbers, so that whole texts can be searched
+    idx = decontaminate.index(idx.ids, [decontaminate.symbols_of([text(w)])[0] for w in idx.words], idx.walks)
+    found = decontaminate.matches([text([*rng.integers(1 << 40, size=50), *words, *rng.integers(1 << 40, size=50)]) for _, words in copies], idx)
+    assert all({m["item_id"] for m in own} <= {i} for (i, _), own in zip(copies, found, strict=True))
+    # the plan aims at .9 or more; 120 trials at exactly .9 stay above .8 with probability .999
+    assert np.mean([bool(x) for x in found]) >= (0.8 if high < 64 else 0.9)
+
+
+def test_decontamination_plan_fails_loudly():
+    with pytest.raises(ValueError, match="not found"):
+        decontaminate.plan([np.arange(1, 40, dtype=np.uint64)], edit_rate=0.99, recall=1.1)
+
+
 def test_decontamination_of_the_benchmark(spark):
     """Every item that stands in a document word for word is found, and nothing else than stretches within the limit."""
     got = {(r.doc_id, r.item_id) for r in decontaminate.checks.queries["op6_benchmark_decontamination"](spark, "/root/testdata/sf0.01").collect()}
