@@ -28,10 +28,13 @@ from barloom.llm.common import sliced, table
 
 checks = Checks()
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)?+)*+)>|[^<]+|<", re.S)
 MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|data-main)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 # tags whose content is no text
 SILENT = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "title"}
+# of these, the ones whose content is not even markup: it ends at their own end tag and nowhere else
+RAW = {"script", "style", "noscript", "iframe", "textarea", "title"}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RAW}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = {"nav", "header", "footer", "aside", "form", "menu", "button", "dialog", "fieldset", "head"}
@@ -91,8 +94,15 @@ def blocks(page: str | None) -> list[Block]:
             out.append(now)
         now = Block(content > 0, furniture > 0, marked > 0)
 
-    for m in TOKEN.finditer(page or ""):
-        tag = m[2]
+    page, at = page or "", 0
+    while m := TOKEN.match(page, at):
+        tag, at = m[2], m.end()
+        if tag and not m[1] and tag.lower() in RAW and not m[3].endswith("/"):
+            if not silent:
+                close()
+            end = RAW_END[tag.lower()].search(page, at)
+            at = end.end() if end else len(page)
+            continue
         if silent:
             if tag and m[1] and tag.lower() == silent:
                 silent = ""

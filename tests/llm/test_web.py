@@ -38,6 +38,11 @@ def test_the_tree_knows_its_samples(tree):
     ("<body><div class='cookie-notice'>Cookies are used on this page for many good reasons</div><article><p>A</p></article><div class=advert>Buy these things today</div></body>", "A"),
     ("<nav><ul><li>unclosed menu<article><p>Text of it.</p></article>", "Text of it."),
     ("<div id=siteHeader><p>Name of the site and its motto in some words</p></div><div class=postBody><p>Yes.</p></div><div class=rightSidebar><p>Other things that might be read today</p></div>", "Yes."),
+    ("<script>for(i=0;i<n;i++){f(i)}</script><article><p>Text of it.</p></article><script>if(a<b)c()</script>", "Text of it."),
+    ("<body><script>var s = '<!-- no end of it';</script><article><p>Text of it.</p></article></body>", "Text of it."),
+    ("<SCRIPT type=x>'</scripts>' <p</SCRIPT ><style>a<b{}</style><article><p>One.</p><script>never ends <p>two</p></article>", "One."),
+    ("<article><p>One.</p><template><script>if(i<n){'</template>'}</script><p>no</p></template><svg><title>a<b</title></svg><p>Two.</p></article>", "One.\n\nTwo."),
+    ("<article><p title=Bob's>First.</p><p>Ann's.</p><p alt = 'a > b' data-x=\"c > 'd\" it's>Third.</p></article>", "First.\n\nAnn's.\n\nThird."),
     ("<article><p>1 &lt; 2 &#x263A; &eacute; &amp;amp;</p></article>", "1 < 2 \u263a \u00e9 &amp;"),
 ])
 def test_main_text(tree, page, want):
