@@ -1,7 +1,7 @@
 r"""WARC archives: writing, and reading back with segment reassembly.
 
 ``write_archive`` lays out one record per row: equal payloads of at least ``LEAST_REVISIT`` bytes become a ``response`` of the
-smallest id and ``revisit`` records that name it. A response holds an HTTP message whose body is framed in chunks; a block longer than
+smallest id and ``revisit`` records that name it and the digest of the payload, since an id may stand for several payloads. A response holds an HTTP message whose body is framed in chunks; a block longer than
 ``segment_bytes`` is cut into a first record and ``continuation`` records.
 The files are written by Spark's text writer, gzip-compressed, with at most ``records_per_file`` records each, so one file is
 bounded by records_per_file * (segment_bytes + headers).
@@ -9,7 +9,7 @@ bounded by records_per_file * (segment_bytes + headers).
 ``read_archive`` parses the files by Content-Length, file by file. Records in one piece pass straight on. Only segments are
 shuffled: ``reassemble`` groups the continuation records by origin identifier, orders them by segment
 number, checks that none is missing and that the total length is as declared, and decodes the chunk framing of the joined
-block. A revisit takes size and digest of the payload from its response.
+block. A revisit takes size and digest of the payload from the response of its id and digest; without one it has neither.
 
 Defined results: null payload is empty; null ids sort last and a group of null ids only has responses; rows that repeat the
 smallest id are responses as well, rows that repeat another id repeat its record; a record that lacks segments, fails its length or its framing comes back with ``ok`` false and a
@@ -39,7 +39,8 @@ RECORDS_PER_FILE = 1_024
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = "record_id string, type string, origin string, segment int, total long, target string, key string, refers_to string, block binary"
-PAYLOADS = "record_id string, type string, target string, key string, refers_to string, ok boolean, payload binary"
+READ = RECORDS + ", digest string"
+PAYLOADS = "record_id string, type string, target string, key string, refers_to string, ok boolean, payload binary, digest string"
 
 
 # ---- writing
@@ -64,11 +65,12 @@ def _target(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def records_of(key: int | None, url: str | None, html: str | None, refers_to: int | None, segment_bytes: int) -> list[bytes]:
+def records_of(key: int | None, url: str | None, html: str | None, refers_to: int | None, segment_bytes: int, digest: str | None = None) -> list[bytes]:
     name = "" if key is None else str(key)
     common = [("WARC-Date", DATE), ("WARC-Target-URI", _target(url)), ("X-Key", name)]
     if refers_to is not None:
         fields = [("WARC-Type", "revisit"), ("WARC-Record-ID", _urn()), *common, ("X-Refers-To-Key", str(refers_to)),
+                  *([("WARC-Payload-Digest", f"sha256:{digest}")] if digest else []),
                   ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
         return [_record(fields, b"")]
     block = HTTP + chunked((html or "").encode("utf-8"))
@@ -86,26 +88,27 @@ def records_of(key: int | None, url: str | None, html: str | None, refers_to: in
 
 
 def revisits(pages: DataFrame, key: str = "page_id", payload: str = "html") -> DataFrame:
-    """(key, refers_to) of the rows whose payload another row with a smaller key holds. Only digests and keys are shuffled."""
+    """(key, digest, refers_to) of the rows whose payload another row with a smaller key holds. Only digests and keys are shuffled."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     sums = pages.select(F.col(key).alias("key"), F.sha2(body, 256).alias("digest"), F.length(body).alias("bytes")).filter(F.col("bytes") >= LEAST_REVISIT)
     sums = stored(sums.select("key", "digest"), "digests")
     first = stored(sums.groupBy("digest").agg(F.min("key").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND refers_to IS NOT NULL").drop("n"), "firsts")
-    return sums.join(first, "digest").filter(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "refers_to").distinct()
+    return sums.join(first, "digest").filter(~F.col("key").eqNullSafe(F.col("refers_to"))).select("key", "digest", "refers_to").distinct()
 
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html",
                   segment_bytes: int = SEGMENT_BYTES, records_per_file: int = RECORDS_PER_FILE) -> None:
     """Write the archive below ``path`` (a folder that all executors share)."""
-    again = stored(revisits(pages, key, payload).withColumnRenamed("key", "_key"), "revisits")
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(payload).alias("html")).join(again, F.col("key").eqNullSafe(F.col("_key")), "left")
+    again = stored(revisits(pages, key, payload).withColumnsRenamed({"key": "_key", "digest": "_digest"}), "revisits")
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(payload).alias("html"), F.sha2(F.coalesce(F.col(payload), F.lit("")).cast("binary"), 256).alias("digest"))
+    rows = rows.join(again, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")), "left")
     # a revisit needs no payload, so it is dropped before it reaches Python
-    rows = rows.select("key", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "refers_to")
+    rows = rows.select("key", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "refers_to", "_digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 64):
             # the writer ends each value with the last line feed of the record
-            out = [r[:-1] for row in zip(*[c.to_pylist() for c in part.columns], strict=True) for r in records_of(*row, segment_bytes)]
+            out = [r[:-1] for row in zip(*[c.to_pylist() for c in part.columns], strict=True) for r in records_of(*row[:4], segment_bytes, row[4])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     made = rows.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
@@ -158,7 +161,7 @@ def unchunked(block: bytes) -> bytes | None:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Raw records of all files below ``path``."""
-    names = [x.split()[0] for x in RECORDS.split(", ")]
+    names = [x.split()[0] for x in READ.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 1):
@@ -166,7 +169,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for head, block in parse(part.column(0)[0].as_py()):
                 number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
                 rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-segment-origin-id"), int(number) if number else None,
-                             int(total) if total else None, head.get("warc-target-uri"), head.get("x-key"), head.get("x-refers-to-key"), block))
+                             int(total) if total else None, head.get("warc-target-uri"), head.get("x-key"), head.get("x-refers-to-key"), block,
+                             head.get("warc-payload-digest", "").removeprefix("sha256:") or None))
                 if len(rows) >= 128:
                     yield _batch(rows, names)
                     rows = []
@@ -174,11 +178,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 yield _batch(rows, names)
 
     # one file per split: a batch must not hold several archives
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORDS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -193,27 +197,28 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform("_s", lambda s: s["block"].cast("string")), "").cast("binary")
     one = one.withColumn("block", joined)
     whole = (F.col("_s")[F.size("_s") - 1]["segment"] == F.size("_s")) & (F.col("_s")[0]["segment"] == 1) & (F.length("block") == F.col("total"))
-    return one.select(F.col("_of").alias("record_id"), "type", "target", "key", "refers_to", F.coalesce(whole, F.lit(False)).alias("ok"), "block")
+    return one.select(F.col("_of").alias("record_id"), "type", "target", "key", "refers_to", F.coalesce(whole, F.lit(False)).alias("ok"), "block",
+                      F.lit(None).cast("string").alias("digest"))
 
 
 def decoded(blocks: DataFrame) -> DataFrame:
-    """Blocks (record_id, type, target, key, refers_to, ok, block) to payloads."""
+    """Blocks (record_id, type, target, key, refers_to, ok, block, digest) to payloads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 64):
             whole, kinds = part.column(5).to_pylist(), part.column(1).to_pylist()
             body = [b"" if k == "revisit" else unchunked(b.as_py()) if ok else None for b, ok, k in zip(part.column(6), whole, kinds, strict=True)]
             ok = pa.array([x is not None for x in body])
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], ok, pa.array(body, pa.binary())], names=[x.split()[0] for x in PAYLOADS.split(", ")])
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], ok, pa.array(body, pa.binary()), part.column(7)], names=[x.split()[0] for x in PAYLOADS.split(", ")])
 
-    return blocks.select("record_id", "type", "target", "key", "refers_to", "ok", "block").mapInArrow(run, PAYLOADS)
+    return blocks.select("record_id", "type", "target", "key", "refers_to", "ok", "block", "digest").mapInArrow(run, PAYLOADS)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Every page of the archive with its payload; a revisit has an empty one and names the key of its response."""
+    """Every page of the archive with its payload; a revisit has an empty one and names the key and the digest of its response."""
     records = read_records(spark, path)
     single = records.filter(F.col("segment").isNull()).withColumn("ok", F.lit(True))
-    columns = ["record_id", "type", "target", "key", "refers_to", "ok", "block"]
+    columns = ["record_id", "type", "target", "key", "refers_to", "ok", "block", "digest"]
     return decoded(single.select(*columns).unionByName(reassemble(records).select(*columns)))
 
 
@@ -231,10 +236,12 @@ def op5_warc_reassembly(spark: SparkSession, d: str) -> DataFrame:
     back = read_archive(spark, path)
     # payloads go no further than their size and digest
     got = back.select(F.col("type").alias("record_type"), F.expr("try_cast(nullif(key, '') AS bigint)").alias("page_id"), F.col("refers_to").cast("long").alias("refers_to"),
-                      F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+                      F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "digest")
     got = stored(got, "read")
-    named = got.filter("record_type = 'revisit'").select(F.col("refers_to").alias("_key")).distinct()
+    again = F.col("record_type") == "revisit"
+    named = got.filter(again).select(F.col("refers_to").alias("_key"), F.col("digest").alias("_digest")).distinct()
     full = got.filter("record_type = 'response'").select(F.col("page_id").alias("_key"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
-    known = stored(full.join(named, "_key", "left_semi").groupBy("_key").agg(F.max("_bytes").alias("_bytes"), F.max("_digest").alias("_digest")), "named")
-    out = got.join(known, got["refers_to"] == known["_key"], "left")
-    return out.select("page_id", F.coalesce("_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    known = stored(full.join(named, ["_key", "_digest"], "left_semi").groupBy("_key", "_digest").agg(F.max("_bytes").alias("_bytes")), "named")
+    out = got.join(known, (got["refers_to"] == known["_key"]) & (got["digest"] == known["_digest"]), "left")
+    return out.select("page_id", F.when(again, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+                      F.when(again, F.col("_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")

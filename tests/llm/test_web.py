@@ -129,6 +129,21 @@ def test_equals_sql(spark, module, name):
     assert sorted(map(str, (tuple(r) for r in df.collect()))) == sorted(map(str, (tuple(r[names.index(c)] for c in df.columns) for r in cur.fetchall())))
 
 
+@pytest.mark.parametrize("rows", [
+    [(7, "A"), (None, "A"), (None, "B")], [(7, "A"), (9, "C"), (None, "A"), (None, "C")], [(7, "A"), (7, "B"), (9, "A"), (9, "B"), (9, "C"), (9, "C")],
+    [(None, "A"), (None, "A"), (None, "B"), (5, "b"), (None, "b"), (4, "b")], [(3, "A"), (2, "B"), (2, "A"), (3, "B"), (3, "A"), (1, None), (1, "B")]])
+def test_null_and_repeated_ids_of_different_payloads(spark, as_dir, rows):
+    """An id is not a payload: every row keeps its own. Small letters stand for payloads that are too short for a revisit."""
+    pages = [(i, f"u{n}", p and p * (150 + ord(p) if p.isupper() else 20)) for n, (i, p) in enumerate(rows)]
+    d = as_dir(pages=spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{d}/pages.parquet/*.parquet'")
+    cur = con.execute(warc.checks.sql["op5_warc_reassembly"])
+    names = [c[0] for c in cur.description]
+    got = warc.checks.queries["op5_warc_reassembly"](spark, d)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(tuple(r[names.index(c)] for c in got.columns)) for r in cur.fetchall())
+
+
 # ---- hosts
 
 
