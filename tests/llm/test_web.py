@@ -233,6 +233,17 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert held == {i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2 for i in ids}
 
 
+def test_a_language_of_long_texts_is_learnt(spark, odd_docs):
+    long = {"en": "the and of to that was ", "de": "der und die das ist f\u00fcr "}
+    docs = spark.createDataFrame([(i, long["en"], "en", "x", 1) for i in range(8)] + [(i, long["de"] * 2000, "de", "x", 1) for i in range(8, 16)], odd_docs.schema)
+    model = langid.train(docs)
+    assert model.languages == ["de", "en"]
+    assert {r.lang for r in langid.predict(docs, model).filter("lang = lang_pred").collect()} == {"de", "en"}
+    counts = langid.context_counts(docs.filter("lang = 'de'"), max_doc_bytes=22)  # the bytes counted stay bounded, by whole characters
+    assert sum(n for _, gram, n in counts if len(gram) == 1) == 8 * 21
+    assert b"\xc3" not in {gram for _, gram, _ in counts}
+
+
 # ---- pipeline
 
 
