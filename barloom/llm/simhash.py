@@ -70,6 +70,19 @@ def fingerprint(texts: list[str | None], shingle_words: int) -> np.ndarray:
     return out
 
 
+def with_fingerprint(docs: DataFrame, shingle_words: int, column: str) -> DataFrame:
+    """``docs`` with the fingerprint of ``text`` in ``column``."""
+    at = docs.columns.index("text")
+    schema = docs.select("*").schema.add(column, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sliced(batches):
+            fp = fingerprint(part.column(at).to_pylist(), shingle_words)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(fp.view(np.int64))], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id") -> DataFrame:
     """(id, fp) for every row."""
 
@@ -364,14 +377,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, parts: int = 4, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``docs``: id, fp, component (the smallest id of its group)."""
+    """One row per row of ``docs``: id, fp, component (the smallest id of its group), root (its smallest fingerprint, which no other group has)."""
     marked = stored(fingerprints(docs, shingle_words, id_col), "fingerprints")
     firsts = stored(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     tree = components(links(firsts, max_bits, parts))
     placed = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     heads = placed.groupBy("root").agg(F.min("first").alias("component"))
-    labels = stored(placed.join(heads, "root").select("fp", "component"), "labels")
-    return marked.join(labels, "fp").select("id", "fp", "component")
+    labels = stored(placed.join(heads, "root").select("fp", "component", "root"), "labels")
+    return marked.join(labels, "fp").select("id", "fp", "component", "root")
 
 
 def hexed(fp: Column) -> Column:

@@ -282,6 +282,16 @@ def test_pipeline_of_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
         assert len(ids) == len(set(ids)) and (name == "odd") == bool(ids)
 
 
+def test_near_dedup_keeps_unlinked_texts_of_one_id(spark, odd_docs):
+    import corpus_pipeline as P
+    rng = random.Random(12)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(2, b, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (1, a, "en", "s", 1), (3, a, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1)]
+    got = P.near_dedup(spark, spark.createDataFrame(rows, odd_docs.schema), "")
+    assert got.columns == odd_docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (1, b), (0, c)])
+
+
 def test_digest_is_of_the_payload(spark, tmp_path):
     row = spark.createDataFrame([(1, "u", "\u00e9" * 200)], "page_id bigint, url string, html string")
     got = read_back(spark, row, str(tmp_path / "d")).first()
