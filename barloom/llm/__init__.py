@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["quality", "chat", "secrets", "simhash", "hosts", "warc", "langid", "html", "decontaminate", "mixing", "lexical", "spelling"]
+MODULES = ["quality", "chat", "secrets", "simhash", "hosts", "warc", "langid", "html", "decontaminate", "mixing", "lexical", "spelling", "toxicity"]
 
 
 def checks() -> list:
