@@ -239,20 +239,6 @@ def _(spark, d):
                       rd("r_multiple", 5))
 
 
-@checks.add("r3_admit_trades")
-def _(spark, d):
-    trades, _counts = O.backtest(catalog.bars(spark, d), index_trend(catalog.index_bars(spark, d)), X.signals(spark, d), X.CLOCK, X.EXITS,
-                                 X.ENTRY.with_(max_open=2))
-    return trades.select("symbol", "ts", "strategy", "side", "score", "entry_ts", "exit_ts", "outcome", rd("pnl_net", 4))
-
-
-@checks.add("r3_admission_counts")
-def _(spark, d):
-    _t, counts = O.backtest(catalog.bars(spark, d), index_trend(catalog.index_bars(spark, d)), X.signals(spark, d), X.CLOCK, X.EXITS,
-                            X.ENTRY.with_(max_open=2))
-    return counts
-
-
 # flagship: VWAP side, ATR from a simple mean, opening-range breakout, next open, barriers, costs, summary
 BRK = f"""SELECT *, lag(close) OVER s AS pc, sum((high + low + close) / 3 * volume) OVER s / sum(volume) OVER s AS vwap,
     CASE WHEN count(*) OVER a >= 5 THEN avg(tr) OVER a END AS atr, lead(ts) OVER s AS entry_ts, lead(open) OVER s AS entry_price, hour(ts) * 60 + minute(ts) AS m

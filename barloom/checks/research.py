@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom import catalog
-from barloom.checks import stand_ins as X
+from barloom.checks import admission_sql as A, stand_ins as X
 from barloom.checks.book import ORDER
 from barloom.checks.indicators import FEAT, TR, ema_step, sql_fold, sql_full, wilder_step
-from barloom.checks.outcomes import NEXT, resolve_sql
+from barloom.checks.outcomes import ENT, NEXT, resolve_sql
 from barloom.checks.registry import Checks, rd, rds, sql_rd
 from barloom.checks.views_sql import with_views
 from barloom.functions import trading as T
@@ -98,25 +98,53 @@ def _(spark, d):
     return f.join(W.has_no_leakage(f, 2), "fold").select("fold", "part", "session_date", "ok")
 
 
-def stand_in_grid(spark):
-    g = dict(W.GRIDS["quick"], min_turnover=[0.002, 0.003], require_confirmation=[True, False], min_score=[6, 8])
-    return W.grid_cross(spark, g)
+# ---- admission and sweeps ---------------------------------------------------------------------
+ONE = A.one_run(dict(ent=ENT, **resolve_sql("ent", ", strategy, pattern")), 30, 6, 2)
+
+
+def one_backtest(spark, d):
+    return O.backtest(catalog.bars(spark, d), index_trend(catalog.index_bars(spark, d)), X.signals(spark, d), X.CLOCK, X.EXITS, X.ENTRY.with_(max_open=2))
+
+
+@checks.add("r3_admit_trades", with_views("bars", "index_bars", recursive=True, **ONE) + """
+SELECT symbol, ts, strategy, side, score, entry_ts, exit_ts, outcome, round(pnl_net, 4) AS pnl_net FROM done WHERE word = 'TAKEN'""")
+def _(spark, d):
+    return one_backtest(spark, d)[0].select("symbol", "ts", "strategy", "side", "score", "entry_ts", "exit_ts", "outcome", rd("pnl_net", 4))
+
+
+@checks.add("r3_admission_counts", with_views("bars", "index_bars", recursive=True, **ONE) + A.COUNTS)
+def _(spark, d):
+    return one_backtest(spark, d)[1]
+
+
+# the default grid; the turnover of the hourly stand-in bars is scaled down
+TURNOVER = X.ENTRY.min_turnover_lakhs
+
+
+def default_grid(spark):
+    return W.grid_cross(spark, dict(W.GRIDS["default"], min_turnover=[TURNOVER]))
 
 
 RUN_OUT = ["run", "trades", "wins", "losses", "raw_signals", "gate_rejected", "position_cap_hits"]
+RUN_NUM = ["win_rate", "profit_factor", "expectancy_r", "max_drawdown_pct", "sharpe_annual", "fitness"]
 
 
-@checks.add("r4_parameter_sweep")
+@checks.add("r4_parameter_sweep", with_views("bars", "index_bars", recursive=True, **A.grid(TURNOVER), **A.summary("every")) + f"""
+SELECT {', '.join(RUN_OUT)}, atr_mult, reward_ratio, gate, {sql_rd(*RUN_NUM)} FROM every""")
 def _(spark, d):
     trend = index_trend(catalog.index_bars(spark, d))
-    out = W.parameter_sweep(X.hits(spark, d), catalog.bars(spark, d), trend, stand_in_grid(spark), X.CLOCK, X.EXITS)
-    return out.select(*RUN_OUT, "atr_mult", "reward_ratio", "gate", *rds("win_rate", "profit_factor", "expectancy_r", "max_drawdown_pct", "sharpe_annual", "fitness"))
+    out = W.parameter_sweep(X.hits(spark, d), catalog.bars(spark, d), trend, default_grid(spark), X.CLOCK, X.EXITS)
+    return out.select(*RUN_OUT, "atr_mult", "reward_ratio", "gate", *rds(*RUN_NUM))
 
 
-@checks.add("r8_walk_forward_sweep")
+@checks.add("r8_walk_forward_sweep", with_views("bars", "index_bars", recursive=True, **A.grid(TURNOVER), dn=DN, cut="SELECT session_date, n < greatest(1, floor(t * 0.7)) AS train FROM dn",
+                                                **A.summary("tr", "session_date IN (SELECT session_date FROM cut WHERE train)"), **A.summary("te", "session_date IN (SELECT session_date FROM cut WHERE NOT train)"),
+                                                best="SELECT run, fitness AS train_fitness FROM tr ORDER BY tr.fitness DESC, run LIMIT 5", oos="""
+  SELECT run, trades, train_fitness, fitness, (train_fitness - fitness) / abs(nullif(train_fitness, 0)) * 100 AS fall FROM te JOIN best USING (run)""") + """
+SELECT run, trades, round(train_fitness, 6) AS train_fitness, round(fitness, 6) AS fitness, round(fall, 6) AS fitness_drop_pct, CASE WHEN fall > 50 THEN 'OVERFIT' WHEN fall > 25 THEN 'CAUTION' ELSE 'HOLDS' END AS verdict FROM oos""")
 def _(spark, d):
     trend = index_trend(catalog.index_bars(spark, d))
-    out = W.walk_forward_sweep(X.hits(spark, d), catalog.bars(spark, d), trend, stand_in_grid(spark), X.CLOCK, X.EXITS)
+    out = W.walk_forward_sweep(X.hits(spark, d), catalog.bars(spark, d), trend, default_grid(spark), X.CLOCK, X.EXITS)
     return out.select("run", "trades", *rds("train_fitness", "fitness", "fitness_drop_pct"), "verdict")
 
 

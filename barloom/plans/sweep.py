@@ -9,6 +9,7 @@ from barloom.operators import rolling as R
 from barloom.operators.layout import lay_out, one_row, pick_mode, pinned, running
 from barloom.operators.performance import daily_equity, trade_summary
 from barloom.plans import outcomes as O
+from barloom.plans.admission import admission_counts, book, taken as trades_of
 from barloom.plans.signals import first_signals
 from barloom.spec import CAPITAL, TRADING_DAYS, CostSpec, ExitSpec, SessionSpec
 
@@ -37,34 +38,35 @@ def grid_cross(spark: SparkSession, grid: dict[str, list]) -> DataFrame:
     return df
 
 
-def sweep_trades(hits: DataFrame, bars: DataFrame, trend: DataFrame | None, grid: DataFrame, session: SessionSpec,
-                 exit_spec: ExitSpec, max_open: int = 5, **kw) -> DataFrame:
-    """Every signal of every run with its admission status.
+def numbered(grid: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The distinct settings of a grid, numbered from 0: a handful of rows."""
+    return grid.select(*keys).distinct().withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)
 
-    Only the exit parameters change an outcome and only confirmation and turnover change which hits
-    count, so outcomes are resolved once per distinct exit setting, signals once per distinct
-    filter setting, and the runs combine the two.
+
+def sweep_books(hits: DataFrame, bars: DataFrame, trend: DataFrame | None, grid: DataFrame, session: SessionSpec,
+                exit_spec: ExitSpec, max_open: int = 5, **kw) -> DataFrame:
+    """The book of every run and session, with its trades and counters.
+
+    Only the exit parameters change an outcome and only confirmation and turnover change which hits count. A signal is one row
+    that names the filter settings it passes and holds a result per exit setting; runs only fold over these rows.
     """
-    variants = grid.select(*SIGNAL_KEYS).distinct()
-    filters = variants.agg(F.collect_list(F.struct(*SIGNAL_KEYS)).alias("filters"))
-    v = hits.withColumn("x", F.explode(one_row(filters)["filters"])).select("*", "x.*").drop("x")
-    v = v.filter((~F.col("require_confirmation") | F.col("confirmed")) & (F.col("turnover") >= F.col("min_turnover")))
-    # signals feed the outcomes and the runs: written once, they are few next to the bars behind them
-    signals = pinned(O.in_scan_window(first_signals(v, SIGNAL_KEYS), session))
+    variants, settings = numbered(grid, SIGNAL_KEYS, "variant"), numbered(grid, EXIT_KEYS, "setting")
+    filters = one_row(variants.agg(F.collect_list(F.struct(*SIGNAL_KEYS, "variant")).alias("f")))["f"]
+    v = hits.withColumn("x", F.explode(filters)).select("*", "x.*").drop("x")
+    v = v.filter((~F.col("require_confirmation") | F.col("confirmed")) & (F.col("turnover") >= F.col("min_turnover"))).drop(*SIGNAL_KEYS)
+    first = O.in_scan_window(first_signals(v, ["variant"]), session)
     key = ["symbol", "session_date", "ts", "strategy", "direction", "pattern"]
-    priced = signals.drop(*SIGNAL_KEYS).dropDuplicates(key)
-    settings = grid.select(*EXIT_KEYS).distinct().agg(F.collect_list(F.struct(*EXIT_KEYS)).alias("settings"))
-    entries = O.with_entries(priced, bars).withColumn("x", F.explode(one_row(settings)["settings"])).select("*", "x.*").drop("x")
-    done = O.size_and_resolve(entries, bars, session, exit_spec, mult=F.col("atr_mult"), ratio=F.col("reward_ratio"),
-                              band=(F.col("min_stop"), F.col("max_stop")), **kw)
-    outcomes = signals.select(*key, *SIGNAL_KEYS).join(done, key)
-    runs = grid.withColumn("max_open", F.lit(max_open))
-    return O.admit(O.judge(outcomes, trend, runs))
+    rest = [c for c in first.columns if c not in (*key, "variant")]
+    signals = first.groupBy(*key).agg(F.collect_set("variant").alias("variants"), *[F.any_value(c).alias(c) for c in rest])
+    each = one_row(settings.agg(F.sort_array(F.collect_list(F.struct("setting", *EXIT_KEYS))).alias("s")))["s"]
+    done = O.outcomes_by_setting(O.with_entries(signals, bars, keep_all=True), bars, session, exit_spec, each, **kw)
+    runs = grid.join(variants, SIGNAL_KEYS).join(settings, EXIT_KEYS).withColumn("max_open", F.lit(max_open))
+    return book(O.with_trend(done, trend), runs, ["symbol", "session_date", "ts", "strategy", "side", "entry_ts", "entry_price"])
 
 
-def run_summary(walked: DataFrame, grid: DataFrame, capital: float = CAPITAL, min_trades: int = 30) -> DataFrame:
+def run_summary(books: DataFrame, grid: DataFrame, capital: float = CAPITAL, min_trades: int = 30) -> DataFrame:
     """Performance, counters and fitness of every run, including runs that never traded."""
-    taken = walked.filter("status = 'TAKEN'")
+    taken = trades_of(books)
     perf = trade_summary(taken, ["run"], pnl="pnl_net", r="r_multiple", capital=capital)
     # equity is recorded per bar of exit; one run trades at most its cap per bar, so a run is small
     bar = taken.groupBy("run", "exit_ts").agg(F.sum("pnl_net").alias("p"))
@@ -77,7 +79,7 @@ def run_summary(walked: DataFrame, grid: DataFrame, capital: float = CAPITAL, mi
     days = days.withColumn("c", F.col("equity") / F.lag("equity").over(d) - 1.0)
     sd = F.stddev_samp("c")
     sharpe = days.groupBy("run").agg(F.when(sd > 0, F.avg("c") / sd * TRADING_DAYS ** 0.5).otherwise(0.0).alias("sharpe_annual"))
-    counts = O.admission_counts(walked).drop("taken")
+    counts = admission_counts(books).drop("taken")
     df = grid
     for part in (perf, dd, sharpe, counts):
         df = df.join(part, "run", "left")
@@ -88,8 +90,8 @@ def run_summary(walked: DataFrame, grid: DataFrame, capital: float = CAPITAL, mi
 
 def parameter_sweep(hits: DataFrame, bars: DataFrame, trend: DataFrame | None, grid: DataFrame, session: SessionSpec,
                     exit_spec: ExitSpec, **kw) -> DataFrame:
-    # four summaries read the walk
-    return run_summary(pinned(sweep_trades(hits, bars, trend, grid, session, exit_spec, **kw)), grid)
+    # four summaries read the books
+    return run_summary(pinned(sweep_books(hits, bars, trend, grid, session, exit_spec, **kw)), grid)
 
 
 def top_configs(results: DataFrame, k: int, by: str = "fitness", tie: str = "run") -> DataFrame:
@@ -184,10 +186,9 @@ def walk_forward_sweep(hits: DataFrame, bars: DataFrame, trend: DataFrame | None
     a test part on its own would start with a young average.
     """
     parts = date_split(bars, ratio)
-    walked = sweep_trades(hits, bars, trend, grid, session, exit_spec, **kw).join(parts, "session_date")
-    # both parts read the walk: write it once instead of computing it twice
-    walked = pinned(walked)
-    summary = lambda part: run_summary(walked.filter(F.col("part") == part), grid)
+    # both parts read the books: write them once instead of computing them twice
+    books = pinned(sweep_books(hits, bars, trend, grid, session, exit_spec, **kw).join(parts, "session_date"))
+    summary = lambda part: run_summary(books.filter(F.col("part") == part), grid)
     return oos_rejoin(summary("train"), summary("test"), k)
 
 

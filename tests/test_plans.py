@@ -1,5 +1,6 @@
 """Plans against brute force on small fixtures."""
 
+import collections
 import datetime as dt
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom import catalog
 from barloom.checks import stand_ins as X
 from barloom.operators import asof, ledger as G, performance as P, risk as R
-from barloom.plans import models as M, outcomes as O, resampling as RS, sweep as W
+from barloom.plans import admission as AD, models as M, outcomes as O, resampling as RS, sweep as W
 from barloom.spec import DayLimits
 
 ORDER = ["exit_time", "trade_id"]
@@ -28,9 +29,9 @@ def judged():
                 ts = dt.datetime(2024, 1, day, h)
                 entry = ts + dt.timedelta(hours=1)
                 rows.append((run, ts.date(), sym, ts, ["ORB", "GAPFILL", "OB_SHORT"][rng.integers(0, 3)], "p", int(rng.integers(4, 10)),
-                             float(rng.integers(1, 4)), int(rng.integers(4, 7)), bool(rng.random() < 0.8), entry,
+                             float(rng.integers(1, 4)), int(rng.integers(4, 7)), bool(rng.random() < 0.8), bool(rng.random() < 0.9), entry,
                              entry + dt.timedelta(hours=int(rng.integers(0, 6))), 2 + run, 6, 2 + 2 * run))
-    cols = ["run", "session_date", "symbol", "ts", "strategy", "pattern", "score", "vol_ratio", "strength", "gate_ok", "entry_ts", "exit_ts",
+    cols = ["run", "session_date", "symbol", "ts", "strategy", "pattern", "score", "vol_ratio", "strength", "gate_ok", "can_enter", "entry_ts", "exit_ts",
             "max_open", "min_score", "top_per_bar"]
     return pd.DataFrame(rows, columns=cols).drop_duplicates(["run", "ts", "symbol", "score", "vol_ratio", "strength"])
 
@@ -48,27 +49,60 @@ def stepping_book(g):
                 continue
             if len(open_) >= cap:
                 break
+            if not r.can_enter:
+                continue
             taken.append((r.run, r.ts, r.symbol, r.score))
             open_.append(r.exit_ts)
             traded.add(r.symbol)
     return taken
 
 
+def fold(spark, judged):
+    """The judged rows as offers of one filter setting per run; runs differ in their limits."""
+    rows = judged.assign(direction=1, trend=judged["gate_ok"].map({True: 1, False: 0}), variants=judged["run"].map(lambda r: [int(r)]))
+    df = spark.createDataFrame(rows.drop(columns=["run", "gate_ok", "max_open", "min_score", "top_per_bar"]))
+    df = df.withColumn("results", F.array(F.struct(F.lit(None).cast("timestamp").alias("exit_ts"), F.lit(False).alias("can_enter")), F.struct("exit_ts", "can_enter")))
+    runs = judged[["run", "top_per_bar", "min_score", "max_open"]].drop_duplicates()
+    limits = spark.createDataFrame([(int(r.run), "strict", int(r.top_per_bar), int(r.min_score), int(r.max_open), int(r.run), 1) for r in runs.itertuples()],
+                                   "run int, gate string, top_per_bar int, min_score int, max_open int, variant int, setting int")
+    return AD.book(df, limits, ["symbol", "session_date", "ts", "score"])
+
+
 def test_admission_equals_a_stepping_book(spark, judged):
-    walked = O.admit(spark.createDataFrame(judged)).filter("status = 'TAKEN'").toPandas()
+    books = fold(spark, judged)
+    walked = AD.taken(books).toPandas()
     got = sorted((r.run, pd.Timestamp(r.ts), r.symbol, r.score) for r in walked.itertuples())
     want = sorted(t for _, g in judged.groupby(["run", "session_date"]) for t in stepping_book(g))
     assert got == [(a, pd.Timestamp(b), c, d) for a, b, c, d in want] and got
+    assert {r.run: r.taken for r in AD.admission_counts(books).collect()} == collections.Counter(t[0] for t in want)
+
+
+def test_fold_runs_in_the_jvm(spark, judged):
+    plan = fold(spark, judged)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_cap_is_never_exceeded(spark, judged):
-    t = O.admit(spark.createDataFrame(judged)).filter("status = 'TAKEN'").toPandas()
-    for (_, _), g in t.groupby(["run", "session_date"]):
+    t = AD.taken(fold(spark, judged)).toPandas()
+    limits = judged.groupby("run")["max_open"].first()
+    for (run, _), g in t.groupby(["run", "session_date"]):
         for ts in g["ts"]:
-            assert ((g["ts"] <= ts) & (g["exit_ts"] > ts)).sum() <= g["max_open"].iloc[0]
+            assert ((g["ts"] <= ts) & (g["exit_ts"] > ts)).sum() <= limits[run]
         assert g["symbol"].is_unique
 
 
+def test_signals_without_entry_keep_their_rank(spark, judged):
+    """Without a next bar or quantity a signal uses up its rank, but no slot, and its symbol may try again."""
+    ts = pd.Timestamp("2024-01-02 09:00")
+    row = lambda sym, hour, score, can: (0, ts.date(), sym, ts + pd.Timedelta(hours=hour), "ORB", "p", score, 1.0, 5, True, can, ts + pd.Timedelta(hours=9), 1, 6, 1)
+    rows = [row("A", 0, 9, False), row("B", 0, 8, True), row("A", 1, 7, True), row("B", 2, 9, True)]
+    cols = [c if c != "entry_ts" else "can_enter" for c in judged.columns.drop("can_enter")]
+    books = fold(spark, pd.DataFrame(rows, columns=cols))
+    assert [(r.symbol, r.score) for r in AD.taken(books).collect()] == [("A", 7)]  # B is below the top one, then finds the book full
+    c = AD.admission_counts(books).first()
+    assert (c.raw_signals, c.position_cap_hits, c.taken) == (4, 1, 1)
+
+
 def test_asof_with_gaps_and_a_busy_bucket(spark):
     rng = np.random.default_rng(1)
     base = pd.Timestamp("2024-01-01")
