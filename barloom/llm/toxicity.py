@@ -24,7 +24,7 @@ import pickle
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ MIN_GAIN = 10.0
 SMOOTH = 2.0
 SHORTEST, LONGEST = 3, 8
 ORDER, WIDTH = 4, 27
-HELD = 200_000
+HELD = 400_000
 
 # what a character may stand for
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
@@ -73,16 +73,13 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(WIDTH**ORDER, np.int64)
-        for part in sliced(batches, 64):
-            for text in part.column(0).to_pylist():
-                points = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
-                c = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], 0)
-                c = c[(c > 0) | np.concatenate([[False], c[:-1] > 0])]
-                c = np.concatenate([[0, 0, 0], np.repeat(c, np.where(c == 0, 3, 1)), [0]])
-                code = ((c[:-3] * WIDTH + c[1:-2]) * WIDTH + c[2:-1]) * WIDTH + c[3:]
-                total += np.bincount(code, minlength=len(total)) if len(code) > 4096 else 0
-                if len(code) <= 4096:
-                    np.add.at(total, code, 1)
+        for part in sliced(batches):
+            # line breaks end words, so the texts of a slice count as one
+            points = np.frombuffer("".join(f"{t or ''}\n" for t in part.column(0).to_pylist()).encode("utf-32-le", "replace"), np.uint32)
+            c = np.where(points < 0x250, CODES[np.minimum(points, 0x24F)], 0)
+            c = c[(c > 0) | np.concatenate([[False], c[:-1] > 0])]
+            c = np.concatenate([[0, 0, 0], np.repeat(c, np.where(c == 0, 3, 1))])
+            total += np.bincount(((c[:-3] * WIDTH + c[1:-2]) * WIDTH + c[2:-1]) * WIDTH + c[3:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["g", "n"])
 
@@ -106,7 +103,7 @@ def bits_of(counts: np.ndarray) -> np.ndarray:
 # ---- channel
 
 PLAIN = re.compile(r"[^\w\s]*[^\W\d_]*(?:['’][^\W\d_]+|-[^\W\d_]{2,})*[^\w\s$@|]*")
-TRIPLE = re.compile(r"([^\W\d_])\1\1", re.I)
+TRIPLE = re.compile(r"([^\W\d_])\1\1")
 LETTER = re.compile(r"[^\W\d_]")
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S){2,}[.,;:!?]*(?!\S)")
 WORD = re.compile(r"[^\W\d_]+")
@@ -117,7 +114,7 @@ def is_noisy(token: str) -> bool:
     core = token.strip(".,;:!?")
     if not core.isalpha() and (not LETTER.search(core) or not PLAIN.fullmatch(token)):
         return bool(LETTER.search(core))
-    return bool(TRIPLE.search(core))
+    return bool(TRIPLE.search(core.lower()))
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -172,11 +169,10 @@ def restored(token: str, bits: list[float]) -> str:
 
 @dataclass
 class Reader:
-    """Tokens of a text and the features of what the channel restores; what a token holds is kept while there is room."""
+    """Tokens of a text and the words that the channel restores."""
 
     bits: list[float]
     heads: frozenset[str] | None = None  # first letters of the words to look at, all if None
-    held: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def text(self, text: str | None) -> str:
         """The restored text, white space as single spaces."""
@@ -188,32 +184,28 @@ class Reader:
         return " ".join(restored(x if isinstance(x, str) else x.group(), self.bits) if not isinstance(x, str) or is_noisy(x) else x for x in out)
 
     def of_token(self, token: str, spaced: bool = False) -> tuple[str, ...]:
-        own = self.held.get(token)
-        if own is None:
-            words = WORD.findall((restored(token, self.bits) if spaced or is_noisy(token) else token).lower())
-            own = tuple({w for w in words if len(w) >= SHORTEST and (self.heads is None or w[:SHORTEST] in self.heads)})
-            if len(self.held) >= HELD:
-                self.held.clear()
-            self.held[token] = own
-        return own
-
-    def words(self, text: str | None) -> set[str]:
-        """The restored words to look at."""
-        out: set[str] = set()
-        if not text:
-            return out
-        at, get, parts = 0, self.held.get, []
+        """The restored words of a token to look at."""
+        if not spaced:
+            core = token.strip(".,;:!?").lower()
+            if core.isalpha() and not TRIPLE.search(core):
+                return (core,) if len(core) >= SHORTEST and (self.heads is None or core[:SHORTEST] in self.heads) else ()
+        words = WORD.findall((restored(token, self.bits) if spaced or is_noisy(token) else token).lower())
+        return tuple({w for w in words if len(w) >= SHORTEST and (self.heads is None or w[:SHORTEST] in self.heads)})
+
+    def tokens(self, text: str) -> tuple[set[str], set[str]]:
+        """Distinct tokens and spaced-out words."""
+        at, parts, spaced = 0, [], set()
         for m in SPACED.finditer(text):
             parts.append(text[at:m.start()])
-            out.update(self.of_token(m.group(), spaced=True))
+            spaced.add(m.group())
             at = m.end()
-        for token in set(" ".join([*parts, text[at:]]).split()):
-            own = get(token)
-            if own is None:
-                own = self.of_token(token)
-            if own:
-                out.update(own)
-        return out
+        return set((" ".join([*parts, text[at:]]) if parts else text).split()), spaced
+
+    def words(self, text: str | None) -> set[str]:
+        """The restored words to look at."""
+        plain, spaced = self.tokens(text) if text else ((), ())
+        out = {w for token in plain for w in self.of_token(token)}
+        return out.union(*(self.of_token(token, spaced=True) for token in spaced))
 
 
 def levels(word: str) -> list[str]:
@@ -251,11 +243,37 @@ class Model:
         return max((self.odds(w, toxic, own) for w in words), default=-math.inf)
 
     def score(self, words: Iterable[str]) -> float:
-        odds = self.worst(words)
+        return self.curve(self.worst(words))
+
+    def curve(self, odds: float) -> float:
         x = self.offset + self.slope * odds if odds > -math.inf else self.empty
         return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
+class Scorer:
+    """Worst words of texts; the odds of a token are kept while there is room."""
+
+    def __init__(self, model: Model) -> None:
+        self.model, self.reader = model, model.reader()
+        self.held: dict[str, float] = {}
+
+    def worst(self, text: str | None) -> float:
+        if not text:
+            return -math.inf
+        plain, spaced = self.reader.tokens(text)
+        odds = set(map(self.held.get, plain))
+        if None in odds:
+            odds.discard(None)
+            if len(self.held) >= HELD:
+                self.held.clear()
+            for token in plain:
+                if token not in self.held:
+                    self.held[token] = own = self.model.worst(self.reader.of_token(token))
+                    odds.add(own)
+        odds.update(self.model.worst(self.reader.of_token(token, spaced=True)) for token in spaced)
+        return max(odds, default=-math.inf)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0; false for null."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -340,9 +358,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(sent.value)
-        reader = own.reader()
+        scorer = Scorer(own)
         for part in sliced(batches, 256):
-            out = [own.score(reader.words(t)) for t in part.column(1).to_pylist()]
+            out = [own.curve(scorer.worst(t)) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")

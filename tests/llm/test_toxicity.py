@@ -19,10 +19,10 @@ def bits_by_hand(texts):
     """Interpolated bits from counts made with plain strings."""
     counts = [Counter() for _ in range(4)]
     for t in texts:
-        s = "".join(chr(96 + c) if (c := toxicity._fold(x)) else "_" for x in t.lower())
+        s = "".join(chr(96 + c) if (c := toxicity._fold(x)) else "_" for x in t.lower() + " ")
         while "__" in s:
             s = s.replace("__", "_")
-        s = "___" + s.lstrip("_").replace("_", "___") + "_"
+        s = "___" + s.lstrip("_").replace("_", "___")
         for i in range(3, len(s)):
             counts[3][s[i - 3:i + 1]] += 1
     for k in (2, 1, 0):
