@@ -205,6 +205,7 @@ def _(spark, d):
 
 # ---- resampling --------------------------------------------------------------------------------
 N_ITER = 20
+FULL_ITER = 2000
 DRAW = "('0x' || substr(md5(concat_ws(':', '42', iter, i)), 1, 8))::BIGINT"
 BOOT = dict(o="SELECT pnl, row_number() OVER (ORDER BY exit_time, trade_id) - 1 AS k, count(*) OVER () AS n FROM trades", dr=f"""
   SELECT iter, i, {DRAW} % n AS k FROM (SELECT unnest(range({N_ITER})) AS iter), (SELECT k AS i, n FROM o)""", sm="SELECT iter, i, pnl AS p FROM dr JOIN o USING (k)", eq="""
@@ -229,6 +230,16 @@ def _(spark, d):
     return P.percentile_table(bootstrap(spark, d), ["total_pnl", *BOOT_METRICS]).select("metric", *rds("p05", "p50", "p95", digits=3))
 
 
+FULL = {k: v.replace(f"range({N_ITER})", f"range({FULL_ITER})") for k, v in BOOT.items()}
+
+
+@checks.add("r6_bootstrap_full", with_views("trades", **FULL) + f"SELECT iter, round(total_pnl, 3) AS total_pnl, {sql_rd(*BOOT_METRICS, digits=5)} FROM bt")
+def _(spark, d):
+    """The default number of draws."""
+    out = RS.bootstrap_trades(catalog.trades(spark, d), ORDER, FULL_ITER, draw=RS.draw_md5)
+    return out.select("iter", rd("total_pnl", 3), *rds(*BOOT_METRICS, digits=5))
+
+
 @checks.add("d11_signal_fingerprint", with_views("trades", t="SELECT strftime(exit_time, '%Y-%m-%d') AS date, lpad((hour(exit_time) * 60 + minute(exit_time))::VARCHAR, 4, '0') AS slot, side, symbol FROM trades", g="""
   SELECT 'date' AS part, date AS name, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'slot', slot, count(*) FROM t GROUP BY 2
   UNION ALL SELECT 'side', side, count(*) FROM t GROUP BY 2 UNION ALL SELECT 'symbol', symbol, count(*) FROM t GROUP BY 2""") + """
