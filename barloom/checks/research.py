@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barloom import catalog
@@ -10,6 +12,7 @@ from barloom.checks.book import ORDER
 from barloom.checks.indicators import FEAT, TR, ema_step, sql_fold, sql_full, wilder_step
 from barloom.checks.outcomes import ENT, NEXT, resolve_sql
 from barloom.checks.registry import Checks, rd, rds, sql_rd
+from barloom.checks.signals import SIGNALS
 from barloom.checks.views_sql import with_views
 from barloom.functions import trading as T
 from barloom.operators import performance as P
@@ -162,23 +165,22 @@ def _(spark, d):
 
 
 # ---- moving-average sweep -------------------------------------------------------------------
-MA = f"""SELECT symbol, ts, close, {sql_full('tr', 'avg', 14)} AS atr, {', '.join(f"{sql_full('close', 'avg', n)} AS m{n}" for n in (5, 9, 20, 30))} FROM t"""
+MA = f"""SELECT symbol, ts, close, {sql_full('tr', 'avg', 14)} AS atr, {', '.join(f"{sql_full('close', 'avg', n)} AS m{n}" for n in (5, 9, 12, 20, 30, 50))} FROM t"""
 MAX = """SELECT symbol, ts, close, atr, f AS fast, s AS slow, coalesce(a > b AND pa <= pb, false) AS up, coalesce(a < b AND pa >= pb, false) AS down FROM (
     SELECT *, lag(a) OVER w AS pa, lag(b) OVER w AS pb FROM (
-      SELECT symbol, ts, close, atr, f, s, CASE f WHEN 5 THEN m5 ELSE m9 END AS a, CASE s WHEN 20 THEN m20 ELSE m30 END AS b
-      FROM ma, (SELECT unnest([5, 9]) AS f), (SELECT unnest([20, 30]) AS s)) WINDOW w AS (PARTITION BY symbol, f, s ORDER BY ts))"""
+      SELECT symbol, ts, close, atr, f, s, CASE f WHEN 5 THEN m5 WHEN 9 THEN m9 ELSE m12 END AS a, CASE s WHEN 20 THEN m20 WHEN 30 THEN m30 ELSE m50 END AS b
+      FROM ma, (SELECT unnest([5, 9, 12]) AS f), (SELECT unnest([20, 30, 50]) AS s)) WINDOW w AS (PARTITION BY symbol, f, s ORDER BY ts))"""
 MAT = """SELECT e.*, x.ts AS exit_ts, x.close AS exit_price FROM (SELECT symbol, fast, slow, ts AS entry_ts, close AS entry_price, sl, rr,
-      coalesce(greatest(0.001, least(sl * atr / close, 0.05)), 0.01) AS sf FROM mx, (SELECT unnest([1.0, 2.0])::DOUBLE AS sl), (SELECT unnest([1.5, 3.0])::DOUBLE AS rr) WHERE up) e,
+      coalesce(greatest(0.001, least(sl * atr / close, 0.05)), 0.01) AS sf FROM mx, (SELECT unnest([1.0, 1.5, 2.0, 2.5])::DOUBLE AS sl), (SELECT unnest([1.2, 1.5, 2.0, 2.5, 3.0])::DOUBLE AS rr) WHERE up) e,
   LATERAL (SELECT ts, close FROM mx b WHERE b.symbol = e.symbol AND b.fast = e.fast AND b.slow = e.slow AND b.ts > e.entry_ts
     AND (down OR b.close <= e.entry_price * (1 - e.sf) OR b.close >= e.entry_price * (1 + greatest(0.001, least(e.sf * e.rr, 0.2)))) ORDER BY ts LIMIT 1) x"""
 MA_SQL = dict(t=TR.replace("FROM ticks", "FROM bars"), ma=MA, mx=MAX, mt=MAT)
-MA_ARGS = dict(fast=[5, 9], slow=[20, 30], stops=[1.0, 2.0], ratios=[1.5, 3.0])
 
 
 @checks.add("r5_ma_trades", with_views("bars", **MA_SQL) + """
 SELECT symbol, fast::INT AS fast, slow::INT AS slow, sl AS sl_atr, rr, entry_ts, exit_ts, round(exit_price * 0.9997 * 0.9994 / (entry_price * 1.0003 * 1.0006) - 1, 6) AS ret FROM mt""")
 def _(spark, d):
-    return W.ma_trades(catalog.bars(spark, d), **MA_ARGS).select("symbol", "fast", "slow", "sl_atr", "rr", "entry_ts", "exit_ts", rd("ret"))
+    return W.ma_trades(catalog.bars(spark, d)).select("symbol", "fast", "slow", "sl_atr", "rr", "entry_ts", "exit_ts", rd("ret"))
 
 
 MA_RES = """SELECT symbol, fast::INT AS fast, slow::INT AS slow, sl AS sl_atr, rr, count(*) AS trades, avg((ret > 0)::INT) * 100 AS win_rate, (exp(sum(ln(1 + ret))) - 1) * 100 AS total_return_pct,
@@ -188,19 +190,19 @@ MA_FIT = "SELECT *, (0.5 * total_return_pct + 10 * sharpe + 0.1 * win_rate) * le
 
 @checks.add("r5_ma_sweep", with_views("bars", **MA_SQL, mr=MA_RES, mf=MA_FIT) + f"SELECT symbol, fast, slow, sl_atr, rr, trades, {sql_rd('win_rate', 'total_return_pct', 'sharpe', digits=5)} FROM mf")
 def _(spark, d):
-    return W.ma_sweep(catalog.bars(spark, d), **MA_ARGS).select("symbol", "fast", "slow", "sl_atr", "rr", "trades", *rds("win_rate", "total_return_pct", "sharpe", digits=5))
+    return W.ma_sweep(catalog.bars(spark, d)).select("symbol", "fast", "slow", "sl_atr", "rr", "trades", *rds("win_rate", "total_return_pct", "sharpe", digits=5))
 
 
 @checks.add("f12_fitness_ma", with_views("bars", **MA_SQL, mr=MA_RES, mf=MA_FIT) + "SELECT symbol, fast, slow, sl_atr, rr, round(fitness, 5) AS fitness FROM mf")
 def _(spark, d):
-    return W.ma_sweep(catalog.bars(spark, d), **MA_ARGS).select("symbol", "fast", "slow", "sl_atr", "rr", rd("fitness", 5))
+    return W.ma_sweep(catalog.bars(spark, d)).select("symbol", "fast", "slow", "sl_atr", "rr", rd("fitness", 5))
 
 
 @checks.add("d18_sl_rr_regions", with_views("bars", **MA_SQL, mr=MA_RES, mf=MA_FIT) + """
 SELECT sl_atr, rr, round(avg(fitness), 5) AS mean_fitness, round(avg(total_return_pct), 5) AS mean_ret, round(avg(win_rate), 5) AS mean_wr, count(*) AS n
 FROM mf WHERE trades >= 10 GROUP BY 1, 2 ORDER BY avg(fitness) DESC LIMIT 10""")
 def _(spark, d):
-    return W.stop_ratio_regions(W.ma_sweep(catalog.bars(spark, d), **MA_ARGS)).select("sl_atr", "rr", *rds("mean_fitness", "mean_ret", "mean_wr", digits=5), "n")
+    return W.stop_ratio_regions(W.ma_sweep(catalog.bars(spark, d))).select("sl_atr", "rr", *rds("mean_fitness", "mean_ret", "mean_wr", digits=5), "n")
 
 
 # ---- resampling --------------------------------------------------------------------------------
@@ -265,12 +267,44 @@ def _(spark, d):
     return out.select("symbol", "ts", "side", "exit_ts", "outcome", "qty", rd("pnl_net", 4), rd("r_multiple", 5))
 
 
-@checks.add("r7_permutation_null")
+def own_names(text: str) -> str:
+    """The steps of ``EO`` under names that the signal steps leave free."""
+    for old, new in ((r"\bta\b", "eta"), (r"\bFROM t\b", "FROM et"), (r"\bnum\b", "enum"), (r"\bwalk\b", "ewalk")):
+        text = re.sub(old, new, text)
+    return text
+
+
+N_PERMS = 200
+H = "('0x' || substr(md5(concat_ws(':', '42', {})), 1, 8))::BIGINT"
+DAYTEXT = "session_date::VARCHAR"
+PARTNER = f"((({H.format(f'perm, {DAYTEXT}, r, ' + chr(39) + 'key' + chr(39))} % size - x) % size) + size) % size"
+NULLS = dict(
+    **SIGNALS, **A.INDEX, n=NEXT, ent=ENT, tz=resolve_sql("ent")["sz"], **{{"t": "et", "ta": "eta", "num": "enum", "walk": "ewalk"}.get(k, k): own_names(v) for k, v in EO.items() if k != "n"}, **resolve_sql("duo"),
+    want="SELECT session_date, count(*) AS want FROM tz GROUP BY 1", buys="SELECT avg((side = 'BUY')::INT) AS ratio FROM tz", slots="""
+  SELECT slot, sum(k) OVER (ORDER BY slot) / sum(k) OVER () AS upto FROM (SELECT hour(entry_ts) * 60 + minute(entry_ts) AS slot, count(*) AS k FROM tz GROUP BY 1)""", pool="""
+  SELECT symbol, session_date, row_number() OVER (PARTITION BY session_date ORDER BY symbol) - 1 AS spot FROM (SELECT DISTINCT symbol, session_date FROM bars)""", swp=f"""
+  SELECT perm, session_date, size, k, 0 AS r, k AS x FROM (SELECT perm, session_date, size, unnest(range(least(want, size))) AS k FROM (SELECT session_date, count(*) AS size FROM pool GROUP BY 1) JOIN want USING (session_date),
+    (SELECT unnest(range({N_PERMS})) AS perm))
+  UNION ALL
+  SELECT perm, session_date, size, k, r + 1, CASE WHEN {H.format(f"perm, {DAYTEXT}, r, greatest(x, y), 'coin'")} % 2 = 1 THEN y ELSE x END FROM (SELECT *, {PARTNER} AS y FROM swp WHERE r < {RS.ROUNDS})""", pk=f"""
+  SELECT perm, symbol, session_date, {H.format(f"perm, {DAYTEXT}, symbol, 'slot'")} / 4294967296.0::DOUBLE AS u, CASE WHEN {H.format(f"perm, {DAYTEXT}, symbol, 'side'")} / 4294967296.0::DOUBLE < ratio THEN 'BUY' ELSE 'SELL' END AS side
+  FROM swp JOIN pool USING (session_date), buys WHERE r = {RS.ROUNDS} AND spot = x""", ps="""
+  SELECT pk.*, coalesce((SELECT min(slot) FROM slots WHERE upto > u), (SELECT max(slot) FROM slots)) AS slot FROM pk""", pb="""
+  SELECT ps.perm, ps.symbol, ps.session_date, ps.side, min(b.ts) AS ts FROM ps JOIN bars b ON b.symbol = ps.symbol AND b.session_date = ps.session_date AND hour(b.ts) * 60 + minute(b.ts) >= slot GROUP BY 1, 2, 3, 4""", pd="""
+  SELECT pb.perm, pnl_net, r_multiple, d, session_date, pb.ts FROM pb JOIN res USING (symbol, session_date, ts, side)""", pg="""
+  SELECT pd.* FROM pd ASOF LEFT JOIN trend ON pd.session_date = trend.session_date AND pd.ts >= trend.ts WHERE d * coalesce(trend.trend, 0) >= 0""", nl="""
+  SELECT perm, count(*) AS trades, avg(r_multiple) AS expectancy_r, sum(pnl_net) AS total_pnl, avg((pnl_net > 0)::INT) * 100 AS win_rate,
+    least(CASE WHEN sum(pnl_net) FILTER (pnl_net <= 0) < 0 THEN coalesce(sum(pnl_net) FILTER (pnl_net > 0), 0) / -sum(pnl_net) FILTER (pnl_net <= 0) ELSE 999 END, 999) AS profit_factor FROM pg GROUP BY 1""")
+NULL_NUM = ["expectancy_r", "total_pnl", "win_rate", "profit_factor"]
+
+
+@checks.add("r7_permutation_null", with_views("bars", "index_bars", recursive=True, **NULLS) + f"""
+SELECT perm, coalesce(trades, 0) AS trades, {', '.join(f"round(coalesce({c}, 0), 4) AS {c}" for c in NULL_NUM)} FROM (SELECT unnest(range({N_PERMS})) AS perm) LEFT JOIN nl USING (perm)""")
 def _(spark, d):
     bars = catalog.bars(spark, d)
     trades = O.candidate_outcomes(O.in_scan_window(X.signals(spark, d), X.CLOCK), bars, X.CLOCK, X.EXITS)
-    out = RS.permutation_null(trades, bars, index_trend(catalog.index_bars(spark, d)), X.CLOCK, X.EXITS, n_perms=50)
-    return out.select("perm", "trades", *rds("expectancy_r", "total_pnl", "win_rate", "profit_factor", digits=4))
+    out = RS.permutation_null(trades, bars, index_trend(catalog.index_bars(spark, d)), X.CLOCK, X.EXITS, n_perms=N_PERMS, draw=RS.draw_md5)
+    return out.select("perm", "trades", *rds(*NULL_NUM, digits=4))
 
 
 # ---- models ------------------------------------------------------------------------------------

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from barloom.functions import trading as T
 from barloom.operators import rolling as R
 from barloom.operators.layout import lay_out, one_row, pick_mode, pinned, running
 from barloom.operators.performance import daily_equity, trade_summary
 from barloom.plans import outcomes as O
-from barloom.plans.admission import admission_counts, book, taken as trades_of
+from barloom.plans.admission import admission_counts, book, let, taken as trades_of
 from barloom.plans.signals import first_signals
 from barloom.spec import CAPITAL, TRADING_DAYS, CostSpec, ExitSpec, SessionSpec
 
@@ -203,7 +203,8 @@ def ma_trades(bars: DataFrame, fast: list[int] = FAST, slow: list[int] = SLOW, s
 
     A position closes on the first later close that reaches stop or target or crosses back. A cross down
     lies between two crosses up except where the averages touch, so the bars between two crosses down
-    form a segment in which an entry meets only its own bars.
+    form a segment in which an entry meets only its own bars: an array that all stops and targets of the entry
+    search, so neither bars nor entries are multiplied by the grid.
     """
     mode = pick_mode(bars, ["symbol"]) if mode == "auto" else mode
     lay = lay_out(bars, ["symbol"], ["ts"], back=max(slow) + atr_len + 1, mode=mode)
@@ -220,20 +221,22 @@ def ma_trades(bars: DataFrame, fast: list[int] = FAST, slow: list[int] = SLOW, s
     seg = running(lay_out(df, keys, ["ts"], mode=mode), sums={"_downs": F.col("down").cast("int")})
     # the bar that crosses down still belongs to the segment it ends
     df = seg.finish().withColumn("segment", F.col("_downs") - F.col("down").cast("int")).drop("_downs")
-    frac = F.coalesce(F.greatest(F.lit(0.001), F.least(F.col("sl_atr") * F.col("atr_sma") / F.col("close"), F.lit(0.05))), F.lit(0.01))
-    entries = (df.filter("up").withColumn("sl_atr", F.explode(F.array(*map(F.lit, stops))))
-               .withColumn("sl_atr_frac", F.when(F.col("atr_sma").isNotNull(), frac).otherwise(0.01))
-               .withColumn("rr", F.explode(F.array(*map(F.lit, ratios)))))
-    entries = entries.withColumn("tgt_frac", F.greatest(F.lit(0.001), F.least(F.col("sl_atr_frac") * F.col("rr"), F.lit(0.2))))
-    e = entries.select(*keys, "segment", "sl_atr", "rr", F.col("ts").alias("entry_ts"), F.col("close").alias("entry_price"),
-                       "sl_atr_frac", "tgt_frac")
-    later = df.select(*keys, "segment", "ts", "close", "down")
-    met = e.join(later, [*keys, "segment"]).filter(F.col("ts") > F.col("entry_ts"))
-    c, p = F.col("close"), F.col("entry_price")
-    ends = F.col("down") | (c <= p * (1 - F.col("sl_atr_frac"))) | (c >= p * (1 + F.col("tgt_frac")))
+    frac = lambda sl: F.when(F.col("atr_sma").isNotNull(), F.coalesce(F.greatest(F.lit(0.001), F.least(sl * F.col("atr_sma") / F.col("close"), F.lit(0.05))), F.lit(0.01))).otherwise(0.01)
+    # an entry meets the bars of its segment once and searches them for every stop and target
+    path = F.array_sort(F.collect_list(F.struct("ts", "close", "down"))).alias("path")
+    e = df.filter("up").join(df.groupBy(*keys, "segment").agg(path), [*keys, "segment"]).withColumn("path", F.filter("path", lambda b: b["ts"] > F.col("ts")))
+    settings = F.array(*[F.struct(F.lit(float(s)).alias("sl_atr"), F.lit(float(r)).alias("rr")) for s in stops for r in ratios])
+    p = F.col("close")
+
+    def first_end(s: Column) -> Column:
+        target = lambda f: F.greatest(F.lit(0.001), F.least(f * s["rr"], F.lit(0.2)))
+        limits = let(frac(s["sl_atr"]), lambda f: F.struct((p * (1 - f)).alias("low"), (p * (1 + target(f))).alias("high")))
+        hit = let(limits, lambda x: F.try_element_at(F.filter("path", lambda b: b["down"] | (b["close"] <= x["low"]) | (b["close"] >= x["high"])), F.lit(1)))
+        return let(hit, lambda h: F.struct(s["sl_atr"].alias("sl_atr"), s["rr"].alias("rr"), h["ts"].alias("exit_ts"), h["close"].alias("exit_price")))
+
+    ends = e.withColumn("x", F.explode(F.filter(F.transform(settings, first_end), lambda x: x["exit_ts"].isNotNull())))
     config = [*keys, "sl_atr", "rr"]
-    closed = met.filter(ends).groupBy(*config, "segment", "entry_ts", "entry_price").agg(
-        F.min("ts").alias("exit_ts"), F.min_by("close", "ts").alias("exit_price"))
+    closed = ends.select(*keys, "segment", F.col("ts").alias("entry_ts"), p.alias("entry_price"), "x.*")
     # entries of one segment are few (touching averages): keep those after the last exit kept
     trade = F.struct("entry_ts", "entry_price", "exit_ts", "exit_price")
     kind = closed.select(trade.alias("t")).schema["t"].dataType.simpleString()

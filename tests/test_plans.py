@@ -136,6 +136,36 @@ def test_bootstrap_against_numpy(spark):
         assert got.loc[it, "total_pnl"] == pytest.approx(x.sum()) and got.loc[it, "max_dd_pct"] == pytest.approx(dd)
 
 
+def test_path_summaries_by_brute_force(spark):
+    """Curves cut into stretches anywhere have the largest fall of the whole curve."""
+    rng = np.random.default_rng(7)
+    rows, want = [], []
+    for k in range(80):
+        p = np.round(rng.normal(0.2, 3, rng.integers(1, 40)), 3)
+        cuts = np.sort(rng.integers(0, len(p) + 1, 3))
+        rows.append((k, [list(map(float, x)) for x in np.split(p, cuts) if len(x)]))
+        curve = 60 + p.cumsum()
+        peak = np.maximum.accumulate(curve)
+        want.append(((peak - curve) / peak).max())
+    df = spark.createDataFrame(rows, "k int, parts array<array<double>>")
+    got = df.select("k", RS.worst_fall(F.transform("parts", RS.path_summary), 60.0).alias("w")).toPandas().sort_values("k")
+    np.testing.assert_allclose(got["w"], want, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("draw", [RS.draw64, RS.draw_md5])
+def test_keyed_permutations_are_bijections(spark, draw):
+    """Every position is named once for any size, permutations differ, and no position is preferred."""
+    ids = spark.range(200).withColumn("size", F.explode(F.array(*[F.lit(n).cast("long") for n in (1, 2, 3, 7, 30)])))
+    rows = ids.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)))
+    got = rows.withColumn("x", RS.shuffled_position(F.col("k"), F.col("size"), 42, F.col("id"), draw=draw)).toPandas()
+    for (_, size), g in got.groupby(["id", "size"]):
+        assert sorted(g["x"]) == list(range(size))
+    seven = got[got["size"] == 7]
+    counts = seven[seven["k"] == 0]["x"].value_counts()
+    assert len(counts) == 7 and counts.max() < 60  # 200 / 7 is 29 with a deviation of 5
+    assert seven.groupby("id")["x"].apply(tuple).nunique() > 150
+
+
 def test_profit_factor_limits(spark):
     df = spark.createDataFrame([("win", 5.0), ("win", 1.0), ("loss", -2.0), ("mix", 4.0), ("mix", -2.0)], "k string, pnl double").withColumn("r", F.col("pnl"))
     got = {r["k"]: r["profit_factor"] for r in P.trade_summary(df, ["k"]).collect()}
