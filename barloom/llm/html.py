@@ -1,8 +1,10 @@
 """Main text of web pages from flat blocks.
 
 ``blocks`` cuts a page into flat text blocks in page order. A block has its text, its word count, its link density, the same of its
-neighbours and two marks of its place: inside article or main content, inside page furniture (menus, headers, footers, sidebars, notices,
-adverts, forms, reader comments, by tag, role or words of class and id). A decision tree, trained by Spark on the small labelled table of
+neighbours and two marks of its place: inside article or main content, and the room that furniture leaves it. Furniture is by tag, role or words
+of class and id (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Its room is the smallest share of the page's unlinked
+words that an enclosing element of that kind holds, 1 outside of them: a form or a box that only its name marks may wrap a whole page, and then
+holds most of its words; it counts as 0 where the page has its content elsewhere. A decision tree, trained by Spark on the small labelled table of
 ``SAMPLES``, says which blocks are main text. The tree has at most 2^5 leaves and travels as a list of splits.
 
 A page is handled on its own in one Arrow pass: no shuffle, memory bounded by the longest page.
@@ -45,21 +47,25 @@ header masthead menu nav navbar navigation newsletter notice notices notificatio
 sponsor sponsored subscribe subscription toolbar widget alert copyright legal topbar login signup search form tags""".split())
 CONTENT_WORDS = set("article content entry main post story body text".split())
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu"}
-FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "content", "furniture"]
+# tags that can wrap a whole page, and name parts that tell of a layout and not of the element
+WRAPPERS = {"form", "fieldset"}
+LAYOUT_PREFIX = re.compile(r"(?:has|with|no|without|hide)[-_]", re.I)
+COMMENT = re.compile(r"(?:user|reader|blog|post)?[-_]?comment(?:s|list|item|thread)?(?:[-_].*)?$", re.I)
+FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "content", "room"]
 DEPTH = 5
 
 
 class Block:
-    __slots__ = ("parts", "words", "linked", "content", "furniture", "marked")
+    __slots__ = ("parts", "words", "linked", "content", "inside", "room", "marked")
 
-    def __init__(self, content: bool, furniture: bool, marked: bool) -> None:
+    def __init__(self, content: int, inside: tuple[int, ...], marked: bool) -> None:
         self.parts, self.words, self.linked = [], 0, 0
-        self.content, self.furniture, self.marked = content, furniture, marked
+        self.content, self.inside, self.marked, self.room = content, inside, marked, 1.0
 
 
 def _place(tag: str, attrs: str) -> tuple[int, bool]:
-    """(1 content, -1 furniture or hidden, 0 neither; labelled as main text in a sample)."""
-    kind, marked = (-1 if tag in FURNITURE else 1 if tag in CONTENT else 0), False
+    """(1 content, 0 neither, -1 furniture that may be a wrapper, -2 furniture or hidden; labelled as main text in a sample)."""
+    kind, marked = (-1 if tag in WRAPPERS else -2 if tag in FURNITURE else 1 if tag in CONTENT else 0), False
     if attrs and tag not in ("body", "html"):
         for name, value in MARKS.findall(attrs):
             name, raw = name.lower(), value.strip("\"'")
@@ -67,13 +73,16 @@ def _place(tag: str, attrs: str) -> tuple[int, bool]:
             if name == "data-main":
                 marked = True
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in FURNITURE_ROLES):
-                kind = -1
+                kind = -2
             elif name == "role" and value in ("main", "article"):
                 kind = kind or 1
             elif name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", raw).lower()))
-                if words & FURNITURE_WORDS and kind < 1:
-                    kind = -1
+                names = [x for x in raw.split() if not LAYOUT_PREFIX.match(x)]
+                words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(names)).lower()))
+                if tag != "main" and any(map(COMMENT.match, names)):
+                    kind = -2
+                elif words & FURNITURE_WORDS and kind < 1:
+                    kind = min(kind, -1)
                 elif words & CONTENT_WORDS and not kind:
                     kind = 1
     return kind, marked
@@ -83,7 +92,12 @@ def blocks(page: str | None) -> list[Block]:
     """Flat text blocks in page order; a block without a word is none."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # open non-inline tags with their place
-    now, silent, link, furniture, content, marked = Block(False, False, False), "", 0, 0, 0, 0
+    boxes: list[list] = []  # every furniture element: may wrap, content around it, words, holds content
+    inside: list[int] = []  # those open now
+    now, silent, link, content, marked = Block(0, (), False), "", 0, 0, 0
+
+    def fresh() -> Block:
+        return Block(content, tuple(inside), marked > 0)
 
     def close() -> None:
         nonlocal now
@@ -92,7 +106,16 @@ def blocks(page: str | None) -> list[Block]:
             now.parts = [text]
             now.words = text.count(" ") + 1
             out.append(now)
-        now = Block(content > 0, furniture > 0, marked > 0)
+        now = fresh()
+
+    def leave(depth: int) -> None:
+        """Ends the open tags from ``depth`` on."""
+        nonlocal content, marked
+        for _, kind, main in stack[depth:]:
+            content, marked = content - (kind > 0), marked - main
+            if kind < 0:
+                inside.pop()
+        del stack[depth:]
 
     page, at = page or "", 0
     while m := TOKEN.match(page, at):
@@ -126,11 +149,9 @@ def blocks(page: str | None) -> list[Block]:
             close()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if depth >= 0:
-                for _, kind, main in stack[depth:]:
-                    furniture, content, marked = furniture - (kind < 0), content - (kind > 0), marked - main
-                del stack[depth:]
+                leave(depth)
                 link = 0
-                now = Block(content > 0, furniture > 0, marked > 0)
+                now = fresh()
             continue
         if tag == "a":
             link = 1
@@ -146,27 +167,42 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):  # closed by the next of their kind
             if stack and stack[-1][0] == tag:
-                _, kind, main = stack.pop()
-                furniture, content, marked = furniture - (kind < 0), content - (kind > 0), marked - main
+                leave(len(stack) - 1)
         elif tag in CONTENT:  # an article ends a menu, header or form that was left open before it
-            depth = next((i for i, (name, _, _) in enumerate(stack) if name in LEFT_OPEN), len(stack))
-            for _, kind, main in stack[depth:]:
-                furniture, content, marked = furniture - (kind < 0), content - (kind > 0), marked - main
-            del stack[depth:]
+            leave(next((i for i, (name, _, _) in enumerate(stack) if name in LEFT_OPEN), len(stack)))
         kind, main = _place(tag, m[3])
         stack.append((tag, kind, main))
-        furniture, content, marked = furniture + (kind < 0), content + (kind > 0), marked + main
+        if kind < 0:
+            inside.append(len(boxes))
+            boxes.append([kind == -1, content, 0, False])
+        content, marked = content + (kind > 0), marked + main
         link = 0
-        now = Block(content > 0, furniture > 0, marked > 0)
+        now = fresh()
     close()
-    return out
+    return rooms(out, boxes)
+
+
+def rooms(found: list[Block], boxes: list[list]) -> list[Block]:
+    """Sets the room of every block."""
+    total = sum(b.words - min(b.linked, b.words) for b in found)
+    content = sum(b.content > 0 for b in found)
+    held = [0] * len(boxes)  # blocks of content in a box, its own surroundings counted
+    for b in found:
+        for k in b.inside:
+            boxes[k][2] += b.words - min(b.linked, b.words)
+            boxes[k][3] |= b.content > boxes[k][1]
+            held[k] += b.content > 0
+    share = [words / max(total, 1) if wraps and (has or held[k] == content) else 0.0 for k, (wraps, _, words, has) in enumerate(boxes)]
+    for b in found:
+        b.room = min((share[k] for k in b.inside), default=1.0)
+    return found
 
 
 def features(found: list[Block]) -> list[list[float]]:
     """One row of FEATURES per block; a missing neighbour has no word and no link."""
     own = [(float(b.words), min(b.linked / b.words, 1.0)) for b in found]
     pad = [(0.0, 0.0), *own, (0.0, 0.0)]
-    return [[*pad[i + 1], *pad[i], *pad[i + 2], float(b.content), float(b.furniture)] for i, b in enumerate(found)]
+    return [[*pad[i + 1], *pad[i], *pad[i + 2], float(b.content > 0), b.room] for i, b in enumerate(found)]
 
 
 # the small labelled table: pages whose main blocks carry data-main
@@ -191,6 +227,16 @@ SAMPLES = (
     <p data-main>After a short remark it goes on for as long as it needs, with <a href=1>a link</a> now and then, which does no harm to a paragraph of this length.</p><p data-main>Quite so.</p>
     <p data-main>The last of the long paragraphs closes the page, and what follows is a list of links again, as it so often is on pages.</p></div>
     <p><a href=4>Share this with all the friends you have</a></p><p><a href=5>Print</a></p><p><a href=6>Send us a letter about this page</a></p></body>""",
+    """<body><div class="wrap has-sidebar"><nav><a href=1>Start</a> <a href=2>Sports</a></nav><div class="banner page"><h1 data-main>On bells</h1><p data-main>The bells of the town were cast in the same year in which the bridge was built, as an old book says.</p>
+    <p data-main>They ring.</p><p data-main>Nobody has counted how often they did so in all the years since then, though some have tried to.</p><div class=sidebar><p>Read more of our long reports on towns and on their bells</p></div></div></div></body>""",
+    """<body><form id=aspnetForm action=x><div id=header><p>The site of the town, for all who live in it and near it</p></div><div id=center><h2 data-main>Water</h2><p data-main>The water of the town comes from the hills to the west of it, by a pipe that is ten miles long.</p>
+    <p data-main>It is cold.</p><p data-main>In a dry year the mayor asks all who live here to use less of it, and most of them do so without a word.</p></div><fieldset><p>Search the site</p></fieldset><div id=footer><p>Write to the town hall if you have a question</p></div></form></body>""",
+    """<body><div class="sidebar-layout legal"><p data-main>These are the terms under which the library lends its books to those who hold a card of the town, from this year on.</p><p data-main>A book may be kept for four weeks, and for two more if no one else has asked for it in that time.</p>
+    <p data-main>Maps stay here.</p></div><div class=promo><p>Our new book on maps is out now, buy it</p></div></body>""",
+    """<body><article><h1 data-main>Apples</h1><p data-main>Apples keep for long.</p></article><ol class=commentlist><li><article class=comment><p>I have kept mine for more than a year in the cellar and they were as good as on the first day of all.</p></article></li>
+    <li><article class=comment><p>Mine were gone after a month, but then the cellar of my house is not a cold one at all, sad to say.</p></article></li></ol></body>""",
+    "<body><article><p data-main>One.</p></article></body>", "<body><nav><a href=1>Start</a></nav><article><p data-main>A</p></article></body>", "<body><main><p data-main><a href=1>Link</a></p><p data-main>Text of it.</p></main></body>",
+    """<body><div class=post><p data-main>Short news.</p></div><div class=footer><p>All that stands on these pages may be read by all, but it may not be printed again without asking the people who wrote it first.</p></div></body>""",
     """<body><table><tr><td><a href=1>All the articles of this month in one list</a></td><td><a href=2>Archive</a></td></tr></table><div><div data-main>Text can stand in boxes without a paragraph tag, and then it is as good a text as any other would be in its place.</div>
     <div data-main>The next box goes on with it for a sentence or two, without any link, and ends there as texts do.</div></div><div><a href=1>Back to the top of this very page</a></div><div>v2</div></body>""",
 )

@@ -43,6 +43,14 @@ def test_the_tree_knows_its_samples(tree):
     ("<SCRIPT type=x>'</scripts>' <p</SCRIPT ><style>a<b{}</style><article><p>One.</p><script>never ends <p>two</p></article>", "One."),
     ("<article><p>One.</p><template><script>if(i<n){'</template>'}</script><p>no</p></template><svg><title>a<b</title></svg><p>Two.</p></article>", "One.\n\nTwo."),
     ("<article><p title=Bob's>First.</p><p>Ann's.</p><p alt = 'a > b' data-x=\"c > 'd\" it's>Third.</p></article>", "First.\n\nAnn's.\n\nThird."),
+    *[(f"{before}<p>The first paragraph of the page has enough words to be read.</p><p>Short one.</p><p>And a third one that closes the page with some more words.</p>{after}",
+       "The first paragraph of the page has enough words to be read.\n\nShort one.\n\nAnd a third one that closes the page with some more words.") for before, after in [
+        ('<div class="wrap has-sidebar">', "</div>"), ('<div class="layout with-sidebar"><article>', "</article></div>"), ('<div class="site has-header-image"><main>', "</main></div>"),
+        ('<div class="legal-text">', "</div>"), ("<form id=aspnetForm method=post><div id=header><a href=1>Town</a></div><div>", "</div><div id=footer>Write to us</div></form>"),
+        ('<div class="sidebar-layout"><div class=post>', "</div><div class=sidebar><p>Most read today</p></div></div>"),
+        ("<article>", '</article><ol class="commentlist"><li>I read this with joy and would like to add one more thing of my own to it.</li></ol>'),
+        ("<main>", '</main><article class="comment"><p>I read this with joy and would like to add one more thing of my own to it.</p></article>'),
+        ('<div class=post>', '</div><div class="footer-wrapper"><p>All that stands on these pages may be read by all who come here, and printed by none of them without asking first.</p></div>')]],
     ("<article><p>1 &lt; 2 &#x263A; &eacute; &amp;amp;</p></article>", "1 < 2 \u263a \u00e9 &amp;"),
 ])
 def test_main_text(tree, page, want):
