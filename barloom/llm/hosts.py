@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.checks.registry import Checks
-from barloom.llm.common import table
+from barloom.llm.common import stored, table
 
 checks = Checks()
 
@@ -76,6 +76,8 @@ def level(counts: DataFrame) -> DataFrame:
 def posteriors(outcomes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
     """The overall (m, k) and, per level, (key, m_<level>, k_<level>)."""
     base = outcomes.groupBy("suffix", "domain", "host").agg(F.sum("bad").cast("double").alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
+    # every level reads the counts and the level above: written once, a row a host, domain or suffix
+    base = stored(base, "hosts")
     # Beta(1, 1) before any outcome
     top = base.agg(((F.coalesce(F.sum("x"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m"), (F.coalesce(F.sum("n"), F.lit(0.0)) + 2).alias("k"))
     out: dict[str, DataFrame] = {}
@@ -84,7 +86,7 @@ def posteriors(outcomes: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
         keys = [name] if parent is None else [name, parent]
         counts = base.groupBy(*keys).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
         counts = counts.withColumn("pm", top.select("m").scalar()) if parents is None else counts.join(parents, parent)
-        fitted = level(counts)
+        fitted = stored(level(counts), name)
         parents = fitted.select(name, F.col("m").alias("pm"))
         out[name] = fitted.select(name, F.col("m").alias(f"m_{name}"), F.col("k").alias(f"k_{name}"))
     return top, out

@@ -7,8 +7,8 @@ training, so a text's code length under a language is a sum of table entries: al
 nodes, a cube over byte classes gives the node of the longest known context, and one table holds the exact cost of every (node,
 byte class, language). Bytes that training never saw cost the same everywhere and share one class, so classes lose nothing.
 
-``train`` reads a bounded sample: per language the ``DOCS_PER_LANG`` texts with the smallest hash, whatever their
-length, and counts the first ``MAX_DOC_BYTES`` bytes of each. The tree and with it the broadcast model is bounded by that sample. ``predict`` scores whole texts, without a shuffle.
+``train`` reads a bounded sample of whole texts: per language, in order of the hash of the id, at most ``DOCS_PER_LANG`` texts, of
+which the last is the one that reaches ``BYTES_PER_LANG`` bytes. The tree and with it the broadcast model is bounded by that sample. ``predict`` scores whole texts, without a shuffle.
 
 The prediction is the language of the shortest code, ties go to the first in order of name; the score is its posterior under equal
 priors, 1 / sum over l of 2^(best - bits_l).
@@ -35,7 +35,9 @@ checks = Checks()
 
 ORDER = 3
 DOCS_PER_LANG = 400
-MAX_DOC_BYTES = 20_000
+BYTES_PER_LANG = 8_000_000
+# first rows are chosen within this many parts of a language, then among those
+SALTS = 64
 UNKNOWN = "und"
 
 
@@ -68,14 +70,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def context_counts(sample: DataFrame, order: int = ORDER, max_doc_bytes: int = MAX_DOC_BYTES) -> list[tuple[str, bytes, int]]:
+def context_counts(sample: DataFrame, order: int = ORDER) -> list[tuple[str, bytes, int]]:
     """(lang, context and next byte, count); contexts of 0 to ``order`` bytes. Counted per task, summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(text.encode("utf-8")[:max_doc_bytes].decode("utf-8", "ignore").encode("utf-8"))  # whole characters
+                by.setdefault(lang, []).append(text.encode("utf-8"))
             for lang, texts in by.items():
                 for k in range(order + 1):
                     codes = [sum(x[i:len(x) - k + i].astype(np.uint64) << np.uint64(8 * (k - i)) for i in range(k + 1))
@@ -84,8 +86,7 @@ def context_counts(sample: DataFrame, order: int = ORDER, max_doc_bytes: int = M
                         v, n = np.unique(np.concatenate(codes), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v)), pa.array(np.full(len(v), k, np.int32)), pa.array(v.astype(np.int64)), pa.array(n)], names=["lang", "k", "code", "n"])
 
-    # no text has more characters than bytes
-    rows = sample.select("lang", F.substring("text", 1, max_doc_bytes).alias("text")).mapInArrow(run, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toPandas()
+    rows = sample.select("lang", "text").mapInArrow(run, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toPandas()
     return [(lang, int(code).to_bytes(int(k) + 1, "big"), int(n)) for lang, k, code, n in rows.itertuples(index=False)]
 
 
@@ -120,15 +121,20 @@ def build(counts: list[tuple[str, bytes, int]], order: int = ORDER) -> Model:
     return Model(languages, classes, nodes, cost)
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, max_doc_bytes: int = MAX_DOC_BYTES) -> Model:
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, bytes_per_lang: int = BYTES_PER_LANG) -> Model:
     """A model of the rows of ``docs`` that have a language and are not held out."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.filter(F.octet_length("text") > 0).select("lang", "doc_id", "text")
-    # Spark keeps the first rows per language of each task before it shuffles
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = own.select("lang", "doc_id").withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= docs_per_lang).select(F.col("doc_id").alias("_id")).distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("size")]
+    sizes = own.select("lang", "doc_id", F.octet_length("text").cast("long").alias("size")).withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(SALTS)))
+    # Spark keeps the first rows per part of each task before it shuffles, and again per language
+    for part in (["lang", "_salt"], ["lang"]):
+        sizes = sizes.withColumn("_r", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col("_r") <= docs_per_lang)
+    before = Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("size").over(before), F.lit(0))).filter(F.col("_before") < bytes_per_lang)
     # at most docs_per_lang ids per language: a bounded table
-    return build(context_counts(own.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")), max_doc_bytes=max_doc_bytes))
+    sample = sizes.select(F.col("doc_id").alias("_id")).distinct()
+    return build(context_counts(own.join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

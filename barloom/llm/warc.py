@@ -13,14 +13,14 @@ block. A revisit takes size and digest of the payload from the response of its i
 
 Defined results: null payload is empty; null ids sort last and a group of null ids only has responses; rows that repeat the
 smallest id are responses as well, rows that repeat another id repeat its record; a record that lacks segments, fails its length or its framing comes back with ``ok`` false and a
-null payload. Other columns are not archived. An empty table gives an empty archive.
+null payload, and so does one without a readable length or segment number; of a broken or cut-off gzip file the records before the damage are read. Other columns are not archived. An empty table gives an empty archive.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +39,8 @@ RECORDS_PER_FILE = 1_024
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 RECORDS = "record_id string, type string, origin string, segment int, total long, target string, key string, refers_to string, block binary"
-READ = RECORDS + ", digest string"
+READ = RECORDS + ", digest string, whole boolean"
+HEX = re.compile(rb"[0-9A-Fa-f]{1,15}")
 PAYLOADS = "record_id string, type string, target string, key string, refers_to string, ok boolean, payload binary, digest string"
 
 
@@ -118,10 +119,23 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
 # ---- reading
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of every record, by its Content-Length. Concatenated gzip members are accepted."""
+def inflated(content: bytes) -> bytes:
+    """Content of the gzip members up to the first that is broken or cut off, of that what can be read."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(content))
+        except zlib.error:
+            break
+        content = member.unused_data if member.eof else b""
+    return b"".join(out)
+
+
+def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
+    """(headers, block, whole) of every record, by its Content-Length; a record without a length, or with less than that, is not whole."""
     if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
+        content = inflated(content)
     at, view = 0, memoryview(content)
     while (at := content.find(b"WARC/", at)) >= 0:
         end = content.find(b"\r\n\r\n", at)
@@ -129,11 +143,20 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         lines = content[at:end].decode("utf-8", "replace").split("\r\n")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head.get("content-length", "0"))
-        yield head, bytes(view[end + 4:end + 4 + size])
+        size = _number(head.get("content-length"))
+        if size is None:  # the next record starts wherever its version line stands
+            yield head, b"", False
+            at = end + 4
+            continue
+        block = bytes(view[end + 4:end + 4 + size])
+        yield head, block, len(block) == size
         at = end + 4 + size + 4
 
 
+def _number(text: str | None, most: int = 18) -> int | None:
+    return int(text) if text and len(text) <= most and text.isascii() and text.isdigit() else None
+
+
 def unchunked(block: bytes) -> bytes | None:
     """Payload of an HTTP message; None if its framing is broken."""
     head, gap, body = block.partition(b"\r\n\r\n")
@@ -146,10 +169,10 @@ def unchunked(block: bytes) -> bytes | None:
         line = body.find(b"\r\n", at)
         if line < 0:
             return None
-        try:
-            size = int(body[at:line].split(b";")[0], 16)
-        except ValueError:
+        digits = body[at:line].split(b";")[0].strip()
+        if not HEX.fullmatch(digits):
             return None
+        size = int(digits, 16)
         if size == 0:
             return b"".join(out)
         piece = body[line + 2:line + 2 + size]
@@ -166,11 +189,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 1):
             rows = []
-            for head, block in parse(part.column(0)[0].as_py()):
-                number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
-                rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-segment-origin-id"), int(number) if number else None,
-                             int(total) if total else None, head.get("warc-target-uri"), head.get("x-key"), head.get("x-refers-to-key"), block,
-                             head.get("warc-payload-digest", "").removeprefix("sha256:") or None))
+            for head, block, whole in parse(part.column(0)[0].as_py()):
+                number, total = _number(head.get("warc-segment-number"), 9), _number(head.get("warc-segment-total-length"))
+                whole = whole and (number is not None or not head.get("warc-segment-number"))
+                # a broken segment stands alone, and its group lacks it
+                number = number if whole else None
+                rows.append((head.get("warc-record-id"), head.get("warc-type"), head.get("warc-segment-origin-id"), number, total, head.get("warc-target-uri"), head.get("x-key"), head.get("x-refers-to-key"), block,
+                             head.get("warc-payload-digest", "").removeprefix("sha256:") or None, whole))
                 if len(rows) >= 128:
                     yield _batch(rows, names)
                     rows = []
@@ -182,7 +207,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
@@ -217,7 +242,7 @@ def decoded(blocks: DataFrame) -> DataFrame:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every page of the archive with its payload; a revisit has an empty one and names the key and the digest of its response."""
     records = read_records(spark, path)
-    single = records.filter(F.col("segment").isNull()).withColumn("ok", F.lit(True))
+    single = records.filter(F.col("segment").isNull()).withColumn("ok", F.col("whole"))
     columns = ["record_id", "type", "target", "key", "refers_to", "ok", "block", "digest"]
     return decoded(single.select(*columns).unionByName(reassemble(records).select(*columns)))
 
