@@ -16,7 +16,7 @@ from barloom.checks.signals import SIGNALS
 from barloom.checks.views_sql import with_views
 from barloom.functions import trading as T
 from barloom.operators import performance as P
-from barloom.operators.layout import one_row, scratch_path
+from barloom.operators.layout import one_row, pinned, scratch_path
 from barloom.operators.recursive import feature_frame, index_trend
 from barloom.plans import models as M, outcomes as O, resampling as RS, sweep as W
 from barloom.sources import dimensions as D
@@ -333,7 +333,7 @@ def _(spark, d):
 
 @checks.add("m3_vol_forecast")
 def _(spark, d):
-    data = M.vol_dataset(catalog.ticks(spark, d))
+    data = pinned(M.vol_dataset(catalog.ticks(spark, d)))  # training and forecast read it
     model, _info = M.train_vol_model(data, max_iter=5, max_depth=3)
     return M.vol_forecast(data, model).select("symbol", *rds("pred_vol", "baseline", "scale"), "regime")
 
@@ -424,7 +424,7 @@ def _(spark, d):
 @checks.add("m4_rr_score")
 def _(spark, d):
     t = catalog.ticks(spark, d)
-    f = feature_frame(t, ["symbol"])
+    f = pinned(feature_frame(t, ["symbol"]))  # training and scoring read it
     # trained on the pairs it scores
     model = M.train_win_model(f, M.barrier_labels(t), max_iter=3, max_depth=3)
     return M.rr_score(f, model, ["symbol", "ts"]).select("symbol", "ts", "status", F.array_join("reasons", "|").alias("reasons"), "sl_mult", "tgt_mult", *rds("score", "p"))

@@ -1,7 +1,7 @@
 """Recursive indicators: exponential and Wilder smoothing, and what is built on them.
 
 y(t) = (1 - a) * y(t-1) + a * x(t) has no bounded frame, so these run as one Arrow pass per
-layout partition that computes every requested column, with the smoothing itself left to
+task that computes every requested column, with the smoothing itself left to
 pandas' compiled ``ewm``. In the split layout a lane starts from copies of the rows before
 it. The weight of anything older than h rows is (1 - a)**h; ``warm_up`` picks h so that this
 weight is below 2**-60, under the last bit of a double, hence lanes and whole series agree.
@@ -10,11 +10,11 @@ weight is below 2**-60, under the last bit of a double, hence lanes and whole se
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -127,26 +127,61 @@ def _compute(name: str, g: dict[str, np.ndarray], base: int, total: int | None =
     raise ValueError(name)
 
 
+def series_starts(columns: list[pa.ChunkedArray | pa.Array], n: int) -> np.ndarray:
+    """Rows at which the key changes, the first row included; nulls are equal to one another."""
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
 def recursive_columns(lay: Layout, wanted: dict[str, str]) -> Layout:
-    """Adds columns ``{output name: kind[:period]}`` in one grouped-map pass.
+    """Adds columns ``{output name: kind[:period]}`` in one Arrow pass over rows sorted by series.
 
-    Arrow tables go in and out: only the four price columns become arrays, every other column
-    passes through untouched.
+    A batch holds many short series, or a part of a long one, which waits for its end. Only the four price columns become arrays,
+    every other column passes through untouched.
     """
-    names = list(wanted)
-    order, split = [(c, "ascending") for c in lay.order], lay.split
+    names, keys, split = list(wanted), lay.partition, lay.split
     schema = StructType([*lay.df.schema.fields, *[StructField(n, DoubleType()) for n in names]])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=order))
+    def computed(batches: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(batches).combine_chunks()
         g = {k: table[k].to_numpy().astype(float) for k in ("high", "low", "close", "volume")}
-        base, total = (table[BASE][0].as_py(), table[TOTAL][0].as_py()) if split else (0, None)
-        for n, kind in wanted.items():
-            values = _compute(kind, g, base, total)
+        starts = series_starts([table[k] for k in keys], table.num_rows)
+        ends = [*starts[1:].tolist(), table.num_rows]
+        bases, totals = (table[c].take(pa.array(starts)).to_pylist() if split else [d] * len(starts) for c, d in ((BASE, 0), (TOTAL, None)))
+        out = {n: np.empty(table.num_rows) for n in names}
+        for lo, hi, base, total in zip(starts.tolist(), ends, bases, totals, strict=True):
+            own = {k: x[lo:hi] for k, x in g.items()}
+            for n, kind in wanted.items():
+                out[n][lo:hi] = _compute(kind, own, base, total)
+        for n, values in out.items():
             table = table.append_column(n, pa.array(values, pa.float64(), mask=np.isnan(values)))
         return table
 
-    out = lay.df.groupBy(*lay.partition).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: list[pa.RecordBatch] = []
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = [b.column(k) for k in keys]
+            first, end = (tuple(c[i].as_py() for c in at) for i in (0, b.num_rows - 1))
+            cut = int(series_starts(at, b.num_rows)[-1])
+            if cut or (open_ and first != last):
+                if whole := [*open_, *([b.slice(0, cut)] if cut else [])]:
+                    yield from computed(whole).to_batches(max_chunksize=10_000)
+                open_ = []
+            open_.append(b.slice(cut))
+            last = end
+        if open_:
+            yield from computed(open_).to_batches(max_chunksize=10_000)
+
+    together = lay.df.repartition(*keys) if keys else lay.df.repartition(1)
+    out = together.sortWithinPartitions(*keys, *[F.col(c).asc_nulls_last() for c in lay.order]).mapInArrow(run, schema)
     return Layout(out, lay.keys, lay.order, lay.split, lay.edges)
 
 

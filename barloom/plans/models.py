@@ -77,6 +77,8 @@ def vol_baseline(dataset: DataFrame, window: int = 20) -> DataFrame:
 def vol_forecast(dataset: DataFrame, model=None) -> DataFrame:
     """Latest prediction per symbol over its baseline, as a clamped scale and a regime."""
     cols = [*VOL_FEATURES, "ewma_vol"]
+    # the last rows and the baseline both read the dataset: write it once
+    dataset = pinned(dataset.select("symbol", "ts", *cols))
     last = dataset.groupBy("symbol").agg(F.max_by(F.struct("ts", *cols), "ts").alias("s")).select("symbol", *[F.col(f"s.{c}").alias(c) for c in ["ts", *cols]])
     if model is None:
         pred = last.withColumn("pred_vol", F.col("ewma_vol"))
@@ -138,7 +140,7 @@ def train_win_model(features: DataFrame, labels: DataFrame, max_iter: int = 10,
     """Classifier of the label from the bar's features and the pair."""
     cols = [*BASE_FEATURES, "sl_mult", "tgt_mult"]
     rows = labels.join(features.select("symbol", "ts", *BASE_FEATURES), ["symbol", "ts"]).na.fill(0.0, BASE_FEATURES)
-    rows = pinned(rows)
+    rows = pinned(rows.select(*cols, "label"))
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(rows)
     return GBTClassifier(labelCol="label", maxIter=max_iter, maxDepth=max_depth, seed=seed, subsamplingRate=0.85).fit(vec)
 

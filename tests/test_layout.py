@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -98,3 +99,29 @@ def test_feature_frame_modes_agree(skewed):
     b = frame(REC.feature_frame(skewed, ["symbol"], "split"), cols)
     for c in cols:
         pd.testing.assert_series_equal(a[c], b[c], rtol=1e-9, atol=1e-9)
+
+
+def test_recursive_pass_takes_many_series_at_once(spark):
+    """Short series share a batch, a long one spans several; null keys are a series; a batch that ends with its series is complete."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k, n in [(None, 25), *[(f"S{i}", 1 + i % 40) for i in range(120)], ("long", 900)]:
+        close = 100 + rng.normal(0, 1, n).cumsum()
+        rows += [(k, t, float(c + 1), float(c - 1), float(c), float(t + 1)) for t, c in enumerate(close)]
+    bars = pd.DataFrame(rows, columns=["symbol", "ts", "high", "low", "close", "volume"])
+    df = spark.createDataFrame(bars.sample(frac=1, random_state=1), "symbol string, ts long, high double, low double, close double, volume double")
+    wanted = {"e": "ema:5", "a": "atr_zero:14", "r": "rsi:14", "x": "adx_feature:14"}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        found = REC.recursive(df, ["symbol"], wanted)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()  # one call per series before
+        got = found.toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(bars)
+    for key, g in bars.groupby("symbol", dropna=False):
+        own = got[got["symbol"].isna() if pd.isna(key) else got["symbol"] == key].sort_values("ts")
+        arrays = {c: g[c].to_numpy() for c in ("high", "low", "close", "volume")}
+        for name, kind in wanted.items():
+            np.testing.assert_array_equal(own[name].to_numpy(float), REC._compute(kind, arrays, 0))
