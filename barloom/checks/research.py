@@ -424,10 +424,11 @@ def _(spark, d):
 @checks.add("m4_rr_score")
 def _(spark, d):
     t = catalog.ticks(spark, d)
-    f = pinned(feature_frame(t, ["symbol"]))  # training and scoring read it
+    f = feature_frame(t, ["symbol"])
     # trained on the pairs it scores
     model = M.train_win_model(f, M.barrier_labels(t), max_iter=3, max_depth=3)
-    return M.rr_score(f, model, ["symbol", "ts"]).select("symbol", "ts", "status", F.array_join("reasons", "|").alias("reasons"), "sl_mult", "tgt_mult", *rds("score", "p"))
+    # scoring reads the rows twice: write them once
+    return M.rr_score(pinned(f), model, ["symbol", "ts"]).select("symbol", "ts", "status", F.array_join("reasons", "|").alias("reasons"), "sl_mult", "tgt_mult", *rds("score", "p"))
 
 
 # model manifests derived from the suppliers
