@@ -86,8 +86,9 @@ def context_counts(sample: DataFrame, order: int = ORDER) -> list[tuple[str, byt
                         v, n = np.unique(np.concatenate(codes), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v)), pa.array(np.full(len(v), k, np.int32)), pa.array(v.astype(np.int64)), pa.array(n)], names=["lang", "k", "code", "n"])
 
-    rows = sample.select("lang", "text").mapInArrow(run, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toPandas()
-    return [(lang, int(code).to_bytes(int(k) + 1, "big"), int(n)) for lang, k, code, n in rows.itertuples(index=False)]
+    rows = sample.select("lang", "text").mapInArrow(run, "lang string, k int, code long, n long").groupBy("lang", "k", "code").agg(F.sum("n").alias("n")).toArrow()
+    # Arrow batches: rows that are pickled take the driver's heap many times their size
+    return [(lang, code.to_bytes(k + 1, "big"), n) for lang, k, code, n in zip(*[c.to_pylist() for c in rows.columns], strict=True)]
 
 
 def build(counts: list[tuple[str, bytes, int]], order: int = ORDER) -> Model:

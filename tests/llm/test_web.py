@@ -323,3 +323,15 @@ def test_digest_is_of_the_payload(spark, tmp_path):
     row = spark.createDataFrame([(1, "u", "\u00e9" * 200)], "page_id bigint, url string, html string")
     got = read_back(spark, row, str(tmp_path / "d")).first()
     assert hashlib.sha256(bytes(got.payload)).hexdigest() == hashlib.sha256(("\u00e9" * 200).encode()).hexdigest()
+
+
+def test_context_counts_reach_the_driver_as_arrow(spark, monkeypatch):
+    docs = spark.createDataFrame([("en", "abab"), ("en", "ab"), ("de", "é")], "lang string, text string")
+
+    def pickled(self, *args):
+        raise AssertionError("a table reached the driver as pickled rows")
+
+    monkeypatch.setattr(type(docs), "toPandas", pickled)
+    monkeypatch.setattr(type(docs), "collect", pickled)
+    got = sorted(langid.context_counts(docs, 1))
+    assert got == [("de", b"\xa9", 1), ("de", b"\xc3", 1), ("de", b"\xc3\xa9", 1), ("en", b"a", 3), ("en", b"ab", 3), ("en", b"b", 3), ("en", b"ba", 1)]
