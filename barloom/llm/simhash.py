@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from barloom.checks.registry import Checks
-from barloom.llm.common import sliced, stored, table
+from barloom.llm.common import TEXT_ROWS, sliced, stored, table
 
 checks = Checks()
 
@@ -148,12 +148,12 @@ def candidate_pairs(fps: DataFrame, groups: list[list[int]]) -> list[np.ndarray]
                 v, n = np.unique(extract(fp, tuple(bits)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], names=["i", "v", "n"])
 
-    cells = fps.select("fp").mapInArrow(run, "i int, v long, n long").groupBy("i", "v").agg(F.sum("n").alias("n")).toPandas()
+    cells = fps.select("fp").mapInArrow(run, "i int, v long, n long").groupBy("i", "v").agg(F.sum("n").alias("n")).toArrow()
+    part, value, count = (c.to_numpy() for c in cells.columns)
     out = []
     for i, bits in enumerate(groups):
-        own = cells[cells["i"] == i]
         h = np.zeros(1 << len(bits))
-        h[own["v"].to_numpy(np.int64)] = own["n"].to_numpy(float)
+        h[value[part == i]] = count[part == i]
         auto = _hadamard(_hadamard(h) ** 2) / len(h)
         by_distance = np.bincount(np.bitwise_count(np.arange(len(h), dtype=np.uint64)), weights=auto, minlength=len(bits) + 1)
         out.append(np.cumsum(by_distance))
@@ -378,7 +378,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 3, parts: int = 4, id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: id, fp, component (the smallest id of its group), root (its smallest fingerprint, which no other group has)."""
-    marked = stored(fingerprints(docs, shingle_words, id_col), "fingerprints")
+    marked = stored(fingerprints(docs, shingle_words, id_col), "fingerprints", TEXT_ROWS)
     firsts = stored(marked.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
     tree = components(links(firsts, max_bits, parts))
     placed = firsts.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -229,3 +229,20 @@ def test_only_often_used_cells_reach_the_driver(spark, monkeypatch, no_docs):
     want = n > neardup.OFTEN * n.sum() / neardup.CELLS + neardup.MORE
     assert (got == want).all() and want.sum() and sum(rows) == want.sum()
     assert not neardup.often_used(no_docs).any()
+
+
+def test_stored_bounds_the_batches_of_texts(spark):
+    """Python workers get small batches while a table of texts is written, and the session's setting comes back."""
+    import pyarrow as pa
+
+    from barloom.llm import common
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    rows = spark.range(0, 1000, 1, 1).mapInArrow(sizes, "n long")
+    before = spark.conf.get(common.ARROW_ROWS)
+    assert max(r.n for r in common.stored(rows, "sizes", 100).collect()) == 100
+    assert spark.conf.get(common.ARROW_ROWS) == before
+    assert max(r.n for r in common.stored(rows, "sizes").collect()) == 1000

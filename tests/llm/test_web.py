@@ -319,6 +319,28 @@ def test_near_dedup_keeps_unlinked_texts_of_one_id(spark, odd_docs):
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted([(1, a), (1, b), (0, c)])
 
 
+def test_near_dedup_drops_what_the_simhash_operator_links(spark, odd_docs):
+    """Texts within three bits are copies also below the similarity of shingle sets, and meet those that only the sets link."""
+    import numpy as np
+    import corpus_pipeline as P
+    from barloom.llm import neardup, simhash
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    bits = lambda a, b: int(np.bitwise_count(np.bitwise_xor(*simhash.fingerprint([a, b], 3))))
+    alike = lambda a, b: neardup.similarity(neardup.shingles(a), neardup.shingles(b)) >= 0.8
+    while True:
+        first = [word() for _ in range(300)]
+        second = [word() if k % 60 == 7 else w for k, w in enumerate(first)]
+        one, two, three = " ".join(first), " ".join(second), " ".join(second * 8 + [word() for _ in range(120)])
+        if bits(two, three) <= 3 < min(bits(one, two), bits(one, three)):
+            break
+    assert alike(one, two) and not alike(two, three) and not alike(one, three)
+    other = " ".join(word() for _ in range(80))
+    rows = [(7, three, "en", "s", 1), (5, two, "en", "s", 1), (6, one, "en", "s", 1), (8, other, "en", "s", 1), (None, three, "en", "s", 1)]
+    got = P.near_dedup(spark, spark.createDataFrame(rows, odd_docs.schema), "")
+    assert sorted(r.doc_id for r in got.collect()) == [5, 8]
+
+
 def test_digest_is_of_the_payload(spark, tmp_path):
     row = spark.createDataFrame([(1, "u", "\u00e9" * 200)], "page_id bigint, url string, html string")
     got = read_back(spark, row, str(tmp_path / "d")).first()
